@@ -10,6 +10,8 @@ from html.parser import HTMLParser
 INLINE = frozenset("a abbr b br code em i img small span strong sub sup u wbr".split())
 #: Elements whose content is left out.
 HIDDEN = frozenset("script style noscript template".split())
+#: Elements whose content the parser reads in modes of its own.
+_RAW = frozenset("script style title textarea plaintext xmp iframe noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Tags that an opening tag of the same kind closes, where their own end is left out.
 _CLOSES = {"li": {"li"}, "p": {"p"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
@@ -21,12 +23,16 @@ def squeeze(text: str) -> str:
     return _SPACE.sub(" ", text).strip(" ")
 
 
+#: Tags in their usual spelling; all others go the way of the parser itself. Attributes aren't needed.
+_START = re.compile(r"""<([a-zA-Z][a-zA-Z0-9]*)(?:\s+[a-zA-Z-]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>=`]+))?)*\s*>""")
+_END = re.compile(r"</([a-zA-Z][a-zA-Z0-9]*)\s*>")
+
+
 @dataclass(slots=True)
 class Block:
     """One block: its text, the innermost element, and what its lines need.
 
-    ``path`` has the open elements as (tag, id of the element, class and id attributes); ``tags``
-    counts the tags since the block before; ``linked`` the characters within links, ``spanned``
+    ``path`` has the tags of the open elements; ``tags`` counts the tags since the block before; ``linked`` the characters within links, ``spanned``
     those other than white space within span elements, of which there are ``spans``.
     """
 
@@ -45,14 +51,31 @@ class BlockParser(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
         self.title = ""
-        self._stack: list[tuple[str, int, str]] = []
+        self._stack: list[str] = []
         self._path: tuple = ()
-        self._count = self._tags = self._linked = self._in_link = self._spans = self._spanned = self._in_span = 0
+        self._tags = self._linked = self._in_link = self._spans = self._spanned = self._in_span = 0
         self._hidden: list[str] = []
         self._buffer: list[str] = []
         self._body = self._in_title = False
         self._head = False
 
+    def updatepos(self, i: int, j: int) -> int:  # line numbers aren't needed
+        return j
+
+    def parse_starttag(self, i: int) -> int:
+        m = _START.match(self.rawdata, i)
+        if m is None or (tag := m[1].lower()) in _RAW:
+            return super().parse_starttag(i)
+        self.handle_starttag(tag, [])
+        return m.end()
+
+    def parse_endtag(self, i: int) -> int:
+        m = None if self.cdata_elem else _END.match(self.rawdata, i)
+        if m is None:
+            return super().parse_endtag(i)
+        self.handle_endtag(m[1].lower())
+        return m.end()
+
     def _flush(self) -> None:
         if self._buffer:
             text = squeeze("".join(self._buffer))
@@ -97,16 +120,15 @@ class BlockParser(HTMLParser):
         if tag in _CLOSES:
             shut = _CLOSES[tag]
             for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in shut:
+                if stack[i] in shut:
                     self._close_to(i)
                     if tag != "tr":
                         break
-                elif stack[i][0] in ("ul", "ol", "table", "dl", "div", "section"):
+                elif stack[i] in ("ul", "ol", "table", "dl", "div", "section"):
                     break
-        if tag in _ENDS_P and stack and stack[-1][0] == "p":
+        if tag in _ENDS_P and stack and stack[-1] == "p":
             self._close_to(len(stack) - 1)
-        self._count += 1
-        stack.append((tag, self._count, " ".join(v for k, v in attrs if k in ("class", "id") and v)))
+        stack.append(tag)
         self._path = tuple(stack)
         self._in_link = self._in_span = 0
 
@@ -127,7 +149,7 @@ class BlockParser(HTMLParser):
         if tag == "title":
             self._in_title = False
         for i in range(len(self._stack) - 1, -1, -1):
-            if self._stack[i][0] == tag:
+            if self._stack[i] == tag:
                 self._close_to(i)
                 break
 

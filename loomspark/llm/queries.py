@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspark.llm import encoding, membership, packing, pages
+from loomspark.llm import encoding, language, leaks, membership, packing, pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_found": language.p2_found,
+    "p2_document_languages": language.p2_document_languages,
+    "p2_segments": language.p2_segments,
     "p3_found": membership.p3_found,
     "p3_filter_errors": membership.p3_filter_errors,
     "p5_found": pages.p5_found,
@@ -18,6 +21,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_residue_by_status": pages.p7_residue_by_status,
     "p8_pack": packing.p8_pack,
     "p8_fill": packing.p8_fill,
+    "p9_found": leaks.p9_found,
+    "p9_leaked_items": leaks.p9_leaked_items,
 }
 
 SQL: dict[str, str] = {
