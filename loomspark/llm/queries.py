@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspark.llm import encoding, language, leaks, membership, packing, pages
+from loomspark.llm import encoding, language, leaks, membership, packing, pages, truncation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": language.p2_found,
@@ -23,6 +23,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_fill": packing.p8_fill,
     "p9_found": leaks.p9_found,
     "p9_leaked_items": leaks.p9_leaked_items,
+    "p10_found": truncation.p10_found,
+    "p10_source_rates": truncation.p10_source_rates,
 }
 
 SQL: dict[str, str] = {
