@@ -54,6 +54,15 @@ def tasks_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores, for steps that take long for each row.
+
+    Small inputs of one file come in one partition; inputs of many files pass unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def once(df: DataFrame, key: str) -> DataFrame:
     """One row for each value of ``key``: a record delivered twice counts once.
 

@@ -12,6 +12,11 @@ def latest(results: DataFrame) -> DataFrame:
     return results.join(last.withColumnRenamed("query", "__q"), F.col("query").eqNullSafe(F.col("__q")) & F.col("fetched").eqNullSafe(F.col("__t"))).drop("__q", "__t")
 
 
+def _inverse(c: Column) -> Column:
+    """1 / position as an exact decimal, so that sums don't depend on their order."""
+    return (1 / c).cast("decimal(20,12)")
+
+
 def best_positions(results: DataFrame) -> DataFrame:
     return results.filter("domain is not null and position is not null").groupBy("domain", "query").agg(F.min("position").alias("best"))
 
@@ -20,16 +25,16 @@ def competitors(results: DataFrame, top: int = 20) -> DataFrame:
     """Domains by visibility: the sum of 1 / best position over all queries."""
     now = latest(results)
     queries = now.agg(F.count_distinct("query").alias("queries"))
-    per = best_positions(now).groupBy("domain").agg(F.count(F.lit(1)).alias("found"), F.sum(1 / F.col("best")).alias("v"), F.avg("best").alias("a"), F.min("best").alias("best"))
-    out = per.join(F.broadcast(queries)).select("domain", "found", "best", F.round("a", 2).alias("average"), F.round(F.col("v") / F.col("queries"), 4).alias("visibility"))
+    per = best_positions(now).groupBy("domain").agg(F.count(F.lit(1)).alias("found"), F.sum(_inverse(F.col("best"))).alias("v"), F.avg("best").alias("a"), F.min("best").alias("best"))
+    out = per.join(F.broadcast(queries)).select("domain", "found", "best", F.round("a", 2).alias("average"), F.round(F.col("v").cast("decimal(30,12)") / F.col("queries"), 4).cast("double").alias("visibility"))
     return out.orderBy(F.col("visibility").desc(), "average", "domain").limit(top)
 
 
 def visibility(results: DataFrame, domain: str) -> DataFrame:
     now = latest(results)
     queries = now.agg(F.count_distinct("query").alias("queries"))
-    mine = best_positions(now).filter(F.col("domain") == domain).agg(F.coalesce(F.sum(1 / F.col("best")), F.lit(0.0)).alias("v"))
-    return mine.join(F.broadcast(queries)).select(F.round(F.try_divide(F.col("v"), F.col("queries")), 4).alias("visibility"))
+    mine = best_positions(now).filter(F.col("domain") == domain).agg(F.coalesce(F.sum(_inverse(F.col("best"))), F.lit(0)).cast("decimal(30,12)").alias("v"))
+    return mine.join(F.broadcast(queries)).select(F.round(F.try_divide(F.col("v"), F.col("queries")), 4).cast("double").alias("visibility"))
 
 
 def gaps(results: DataFrame, domain: str, rivals: list[str]) -> DataFrame:
