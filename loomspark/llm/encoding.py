@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.catalog import table, written
+from loomspark.catalog import spread, table, written
 
 #: Distinct twins a transformation needs: one out of UTF-8 proves itself by its byte pattern.
 UTF8_TWINS, OTHER_TWINS = 1, 3
@@ -292,7 +292,7 @@ def garbled_bodies(responses: DataFrame) -> DataFrame:
     ``responses`` has response_id and body. Null, empty and ASCII bodies are no cases; a record
     delivered twice comes out once.
     """
-    bodies = responses.select("response_id", "body")
+    bodies = spread(responses.filter("body is not null").select("response_id", "body"))
     pairs, known = learn_pairs(bodies), known_neighbours(bodies)
     return bodies.filter("body is not null").mapInArrow(_found(pairs, known), "response_id bigint, restored_md5 string").groupBy("response_id").agg(F.min("restored_md5").alias("restored_md5"))
 

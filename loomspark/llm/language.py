@@ -12,6 +12,7 @@ regression fold. A sentence differs from its document's language only by a clear
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.catalog import once, table
+from loomspark.catalog import once, spread, table
 
 #: Bounds of the fit: documents and sentences of each language, landmarks of each, ridge.
 SAMPLE_DOCUMENTS, SAMPLE_SENTENCES, LANDMARKS, RIDGE = 300, 500, 40, 0.05
@@ -125,7 +126,7 @@ class Model:
 def _products(texts: list[str], right: np.ndarray) -> np.ndarray:
     """The presence matrix of ``texts``, rows of length one, times ``right``, in parts of bounded size."""
     out = np.zeros((len(texts), right.shape[1]), np.float32)
-    step = max(1, 40_000_000 // (400 * right.shape[1]))
+    step = max(1, 12_000_000 // (400 * right.shape[1]))
     for a in range(0, len(texts), step):
         r, c = presence(texts[a : a + step])
         if len(r):
@@ -150,6 +151,7 @@ def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge:
     keep = list(range(len(texts)))
     for last in (False, True):
         y = [labels[i] for i in keep]
+        size = Counter(y)
         chosen = [i for lang in languages for i in [k for k in keep if labels[k] == lang][:landmarks]]
         z = _columns([texts[i] for i in chosen])
         vals, vecs = np.linalg.eigh(_products([texts[i] for i in chosen], z).astype(np.float64))
@@ -160,7 +162,7 @@ def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge:
             phi = _products([texts[i] for i in keep[a : a + 500]], z).astype(np.float64) @ root
             t = np.array([[1.0 if lab == lang else -1.0 for lang in languages] for lab in y[a : a + 500]])
             # languages count alike however many sentences they have
-            w = np.array([1 / y.count(lab) for lab in y[a : a + 500]]) * len(y) / len(languages)
+            w = np.array([1 / size[lab] for lab in y[a : a + 500]]) * len(y) / len(languages)
             gram += (phi * w[:, None]).T @ phi
             target += (phi * w[:, None]).T @ t
         solved = np.linalg.solve(gram + ridge * len(keep) * np.eye(len(gram)) / len(languages), target)
@@ -261,7 +263,7 @@ def text_segments(documents: DataFrame, model: Model) -> DataFrame:
                 cols = list(zip(*rows)) or [[]] * 7
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.bool_()))], ["doc_id", "segment", "start", "length", "language", "confidence", "whole"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, segment int, start int, length int, language string, confidence double, whole boolean")
+    return spread(documents.select("doc_id", "text")).mapInArrow(run, "doc_id bigint, segment int, start int, length int, language string, confidence double, whole boolean")
 
 
 def document_languages(segments: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.catalog import once, table
+from loomspark.catalog import once, spread, table
 
 WINDOW, BLOCK = 4, 2
 #: A passage holds this share of the item's words in their order, of which one in eight may be changed.
@@ -164,7 +164,7 @@ def find_leaks(items: DataFrame, documents: DataFrame) -> DataFrame:
             got = [(i, doc) for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()) for i, *_ in leaked(search, search.encode(words_of(text)))]
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64())], ["item_id", "doc_id"])
 
-    return documents.filter("text is not null").select("doc_id", "text").mapInArrow(run, "item_id bigint, doc_id bigint").distinct()
+    return spread(documents.filter("text is not null").select("doc_id", "text")).mapInArrow(run, "item_id bigint, doc_id bigint").distinct()
 
 
 def p9_found(spark, sf_dir: str) -> DataFrame:
