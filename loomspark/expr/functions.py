@@ -168,6 +168,8 @@ def _over(name: str, f):
     def run(v: Value) -> Value:
         if is_null(v):
             return const(False)
+        if not is_list(v):
+            return Value(truthy(v), B)
         inner = v.type.elementType
         return Value(F.coalesce(f(v.col, lambda x: truthy(Value(x, inner))), F.lit(False)), B)
 

@@ -17,8 +17,16 @@ from loomspark.functions import values as V
 def mapped(f, kind: str, nulls: bool = False):
     """A column function that runs ``f`` over batches; nulls stay null unless ``nulls``."""
 
-    def run(s: pd.Series) -> pd.Series:
-        return pd.Series([f(x) if nulls or not (x is None or x is pd.NA or x != x) else None for x in s], dtype=object)
+    if kind.startswith("struct<"):
+        names = re.findall(r"(\w+):", kind)
+
+        def run(s: pd.Series) -> pd.DataFrame:
+            rows = [(f(x) if isinstance(x, str) else None) or {} for x in s]
+            return pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype=object) for n in names})
+    else:
+
+        def run(s: pd.Series) -> pd.Series:
+            return pd.Series([f(x) if nulls or not (x is None or x is pd.NA or x != x) else None for x in s], dtype=object)
 
     def call(c: Column) -> Column:
         return F.pandas_udf(run, kind)(c)

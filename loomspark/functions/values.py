@@ -40,7 +40,7 @@ def is_placeholder(text: str | None) -> bool:
     return s in PLACEHOLDERS or bool(re.fullmatch(r"\{\{.*\}\}|\$\{.*\}|%[a-z_]+%|\[[a-z_ ]+\]", s))
 
 
-_GARBLED = re.compile(r"[ÃÂâ][-¿€‚„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]|ï¿½|�")
+_GARBLED = re.compile("[ÃÂâ][\x80-\xbf€‚„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]|ï¿½|\ufffd")
 
 
 def garbled_share(text: str | None) -> float:

@@ -58,6 +58,8 @@ def peel(cells: list[dict], m: int) -> list[tuple[int, int, int]] | None:
         if (h - (1 << 64) if h >> 63 else h) != x:
             continue
         out.append((sign, k, v))
+        if len(out) > 3 * m:  # more elements than cells: the cells don't fit together
+            return None
         for j in range(3):
             p = _position(h, j, m)
             e = at.setdefault(p, [0, 0, 0, 0])
