@@ -16,11 +16,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BLOCKS = frozenset("address article aside blockquote dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tbody td tfoot th thead tr ul body".split())
+BLOCKS = frozenset("address article aside blockquote dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tbody td tfoot th thead tr ul body html".split())
 HIDDEN = frozenset("script style noscript template head title".split())
 _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("tr", "td", "th", "thead")}
 _SCOPES = frozenset(("table", "ul", "ol", "dl", "select", "body", "html"))
-_CLOSE_P = BLOCKS - frozenset(("li", "dt", "dd", "td", "th", "tr", "body", "tbody", "thead", "tfoot"))
+_CLOSE_P = BLOCKS - frozenset(("li", "dt", "dd", "td", "th", "tr", "body", "html", "tbody", "thead", "tfoot"))
 
 
 class Node:

@@ -175,6 +175,14 @@ class _SQLiteReader(DataSourceReader):
                 yield tuple(None if v is None else bool(v) if isinstance(k, T.BooleanType) else float(v) if isinstance(k, T.DoubleType) else str(v) if isinstance(k, T.StringType) else v for v, k in zip(r, kinds))
 
 
+def _arrow(result, whole: bool = False):
+    """The Arrow batches of a DuckDB result (its table with ``whole``), by the names of either major version."""
+    if whole:
+        yield (result.to_arrow_table if hasattr(result, "to_arrow_table") else result.fetch_arrow_table)()
+    else:
+        yield from (result.to_arrow_reader if hasattr(result, "to_arrow_reader") else result.fetch_record_batch)(10_000)
+
+
 class DuckDBSource(DataSource):
     """Tables of a DuckDB file, as Arrow batches. Format ``loom_duckdb``. Options: ``path``, ``table``."""
 
@@ -194,7 +202,7 @@ class DuckDBSource(DataSource):
         from pyspark.sql.pandas.types import from_arrow_schema
 
         with duckdb.connect(self.options["path"], read_only=True) as con:
-            return from_arrow_schema(con.execute(f'SELECT * FROM "{self._table(con)}" LIMIT 0').fetch_arrow_table().schema)
+            return from_arrow_schema(next(_arrow(con.execute(f'SELECT * FROM "{self._table(con)}" LIMIT 0'), whole=True)).schema)
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
         return _DuckDBReader(self.options["path"], self.options.get("table"), self)
@@ -212,7 +220,7 @@ class _DuckDBReader(DataSourceReader):
         import duckdb
 
         with duckdb.connect(self.path, read_only=True) as con:
-            yield from con.execute(f'SELECT * FROM "{self.table}"').fetch_record_batch(10_000)
+            yield from _arrow(con.execute(f'SELECT * FROM "{self.table}"'))
 
 
 def register_sources(spark: SparkSession) -> None:
