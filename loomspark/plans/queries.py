@@ -408,12 +408,12 @@ def latest_per_key(s: SparkSession, d: str) -> DataFrame:
     return ranking.latest(_serp(s, d)).drop("fetched")
 
 
-@query("rank_visibility", f"{_SERP} SELECT domain, count(*) AS found, min(best) AS best, round(avg(best), 2) AS average, CAST(round(CAST(sum(CAST(1 / CAST(best AS DOUBLE) AS DECIMAL(20, 12))) / (SELECT count(DISTINCT query) FROM now) AS DECIMAL(30, 12)), 4) AS DOUBLE) AS visibility FROM best GROUP BY 1 ORDER BY 5 DESC, 4, 1 LIMIT 20")
+@query("rank_visibility", f"{_SERP} SELECT domain, count(*) AS found, min(best) AS best, round(avg(best), 2) AS average, CAST(round(CAST(sum(CAST(1 / CAST(best AS DOUBLE) AS DECIMAL(20, 12))) / (SELECT count(DISTINCT query) FROM now) AS DECIMAL(30, 16)), 4) AS DOUBLE) AS visibility FROM best GROUP BY 1 ORDER BY 5 DESC, 4, 1 LIMIT 20")
 def rank_visibility(s: SparkSession, d: str) -> DataFrame:
     return ranking.competitors(_serp(s, d))
 
 
-@query("rank_visibility_of", f"{_SERP} SELECT CAST(round(CAST(sum(CAST(1 / CAST(best AS DOUBLE) AS DECIMAL(20, 12))) / (SELECT count(DISTINCT query) FROM now) AS DECIMAL(30, 12)), 4) AS DOUBLE) AS visibility FROM best WHERE domain = 'd7'")
+@query("rank_visibility_of", f"{_SERP} SELECT CAST(round(CAST(sum(CAST(1 / CAST(best AS DOUBLE) AS DECIMAL(20, 12))) / (SELECT count(DISTINCT query) FROM now) AS DECIMAL(30, 16)), 4) AS DOUBLE) AS visibility FROM best WHERE domain = 'd7'")
 def rank_visibility_of(s: SparkSession, d: str) -> DataFrame:
     return ranking.visibility(_serp(s, d), "d7")
 
