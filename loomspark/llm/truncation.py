@@ -1,9 +1,9 @@
 """Texts cut off by field limits or in transfer.
 
-1. Near-copies: min-hash signatures over shingles of five words, in bands. Of the texts that share
-   a band only the longest represents it, so a band of any size gives one pair per text. Pairs
-   with a similarity of 0.8 or more are aligned: a copy whose alignment ends early, within a
-   sentence of the other, was cut.
+1. Near-copies: min-hash signatures over shingles of five words, in bands. Equal texts are one; a
+   text without an end meets every longer one of its bands whose number of shingles allows a
+   similarity of 0.8. Pairs of that similarity or more are aligned: a copy whose alignment ends
+   early, within a sentence of the other, was cut.
 2. All others are scored by the terminality of their closing words: how often the last three (two,
    one) words end a sentence where they occur within the corpus. Texts that end with a sentence's
    end, a list, a code, an address, a signature or a bracket are whole; notes of omission are not.
@@ -134,7 +134,10 @@ def shingles(text: str) -> np.ndarray:
 
 def bands(text: str) -> list[int]:
     """The band keys of a text's min-hash signature."""
-    s = shingles(text)
+    return _bands(shingles(text))
+
+
+def _bands(s: np.ndarray) -> list[int]:
     if not len(s):
         return []
     low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
@@ -144,14 +147,19 @@ def bands(text: str) -> list[int]:
     return [xxhash.xxh64_intdigest(low[i * ROWS : (i + 1) * ROWS].tobytes(), i) - (1 << 63) for i in range(BANDS)]
 
 
+_BANDED = "doc_id bigint, digest binary, size int, shingles int, open boolean, bands array<bigint>"
+
+
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ids, size, keys, open_ = [], [], [], []
+        rows = []
         for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-            is_open = ending(text)[0] in (OPEN, DOTS)
-            for k in bands(text or ""):
-                ids.append(doc), size.append(len(text)), keys.append(k), open_.append(is_open)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(size, pa.int32()), pa.array(keys, pa.int64()), pa.array(open_, pa.bool_())], ["doc_id", "size", "band", "open"])
+            s = shingles(text)
+            if len(s):
+                rows.append((doc, xxhash.xxh128_digest(text.encode("utf-8", "surrogatepass")), len(text), len(s), ending(text)[0] in (OPEN, DOTS), _bands(s)))
+        cols = list(zip(*rows)) or [[]] * 6
+        kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "digest", "size", "shingles", "open", "bands"])
 
 
 def ends_early(text: str, other: str) -> bool | None:
@@ -189,13 +197,23 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def cut_copies(docs: DataFrame) -> DataFrame:
-    """``doc_id`` of the texts that end early beside a longer near-copy."""
-    keys = written(docs.filter("text is not null").mapInArrow(_banded, "doc_id bigint, size int, band bigint, open boolean"), "bands")
-    longest = keys.groupBy("band").agg(F.max(F.struct("size", "doc_id")).alias("r"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", F.col("r.doc_id").alias("other"), F.col("r.size").alias("other_size"))
-    pairs = keys.filter("open").join(longest, "band").filter("other <> doc_id and other_size > size").select("doc_id", "other").distinct()
+    """``doc_id`` of the texts that end early beside a longer near-copy.
+
+    Two sets of shingles can be similar by ``SIMILAR`` only where the smaller one has that share
+    of the larger one's number, so other pairs of a band are left out; none else is.
+    """
+    signed = written(docs.filter("text is not null").mapInArrow(_banded, _BANDED), "bands")
+    reps = signed.groupBy("digest").agg(F.min(F.struct("doc_id", "size", "shingles", "open", "bands")).alias("r"))
+    keys = reps.select("r.doc_id", "r.size", "r.shingles", "r.open", F.explode("r.bands").alias("band"))
+    x, y = keys.filter("open").drop("open").alias("x"), keys.drop("open").alias("y")
+    near = F.least("x.shingles", "y.shingles") >= SIMILAR * F.greatest("x.shingles", "y.shingles")
+    pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("y.size") > F.col("x.size")) & near).select(F.col("x.doc_id").alias("doc_id"), F.col("y.doc_id").alias("other")).distinct()
     texts = docs.select("doc_id", "text")
     both = pairs.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("other"), F.col("text").alias("other_text")), "other")
-    return both.mapInArrow(_aligned, "doc_id bigint").distinct()
+    found = both.mapInArrow(_aligned, "doc_id bigint").distinct()
+    # what holds of a text holds of all that are equal to it
+    of = signed.select("doc_id", "digest")
+    return of.join(of.join(found, "doc_id").select("digest").distinct(), "digest").select("doc_id").distinct()
 
 
 def field_limits(forms: DataFrame, column: str) -> list[int]:

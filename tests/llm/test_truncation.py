@@ -49,5 +49,15 @@ def test_cut_texts(spark):
     assert not got & ({1003, 1004, 1006, 1007, 1008, 1200} | set(range(400)))
 
 
+def test_longer_variants_hide_no_copy(spark):
+    """Variants with appendices are the longest texts of every band; the whole copy is between."""
+    base = "".join(f"Line{i} has a word of its own{i}. " for i in range(60))
+    whole, cut = base + "The tall shelf costs very little today. And so on.", base + "The tall shelf costs very little"
+    docs = [(1, whole), (2, cut), (3, cut)] + [(10 + i, cut + ". " + "".join(f"Appendix{i} adds{i} {j} something{i} else{j}. " for j in range(24))) for i in range(60)]
+    assert all(len(np.intersect1d(G.shingles(cut), G.shingles(t))) < 0.8 * len(G.shingles(t)) for _, t in docs[3:])
+    assert set(G.bands(cut)) & set(G.bands(whole)) <= {b for _, t in docs[3:] for b in G.bands(t)}
+    assert sorted(r[0] for r in G.cut_copies(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()) == [2, 3]
+
+
 def test_empty(spark):
     assert G.cut_texts(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
