@@ -143,6 +143,23 @@ def test_near_duplicates(spark):
     assert got == {**{i: 10 * (i // 10) for i, _ in near_texts()}, 900: 900, 901: 901}
 
 
+def test_near_pairs_are_those_of_all_shingles(spark):
+    """Pairs from a similarity just above 0.8 on are found, those below are not."""
+    base, data, want = [f"w{i}" for i in range(104)], [], set()
+    for g in range(40):
+        words = [f"{w}x{g}" for w in base]
+        # 100 shingles each; one of n shingles more has 100 of n in common
+        for j, more in enumerate((0, 24, 27)):
+            data.append((10 * g + j, " ".join(words + [f"z{g}y{i}" for i in range(more)])))
+        want |= {(10 * g, 10 * g + 1), (10 * g + 1, 10 * g + 2)}
+    got = dedupe.near_pairs(spark.createDataFrame(data, "id bigint, text string"), "id", "text", 0.8)
+    assert {(r["a"], r["b"]) for r in got.collect()} == want
+    assert {round(r["similarity"], 4) for r in got.collect()} == {round(100 / 124, 4), round(124 / 127, 4)}
+    assert dedupe.false_negative_rate(0.8, *dedupe.bands_for(0.8)) < 0.001
+    kept = dedupe.deduplicate(spark.createDataFrame([(d[1],) for d in data], "text string"), near="text", threshold=0.8)
+    assert kept.count() == 40
+
+
 def test_many_copies_make_no_pairs(spark):
     df = spark.createDataFrame([(i, "the very same text of some words") for i in range(3000)] + [(5000, "quite another text of other things")], "id bigint, text string")
     assert dedupe.near_pairs(df, "id", "text").count() == 0
