@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -14,18 +14,34 @@ def compare_runs(pages: DataFrame, old: int, new: int, complete: bool = True) ->
     """
     before = pages.filter(F.col("run") <= old).groupBy("url").agg(F.max_by(F.struct("content", "status"), "run").alias("b"))
     after = pages.filter(F.col("run") == new).groupBy("url").agg(F.max_by(F.struct("content", "status"), "run").alias("a"))
-    j = before.join(after, "url", "full")
+    return before.join(after, "url", "full").select("url", _change(F.lit(complete)).alias("change")).filter("change is not null")
+
+
+def _change(complete: Column) -> Column:
+    """The kind of change from the snapshot ``b`` to the snapshot ``a`` (content, status); null where there is none."""
     gone = lambda s: F.coalesce(F.col(s).isin(404, 410), F.lit(False))
     there = F.col("b").isNotNull() & ~gone("b.status")
-    change = (
-        F.when(F.col("a").isNull(), F.when(there, F.lit("removed" if complete else "missing")))
+    return (
+        F.when(F.col("a").isNull(), F.when(there, F.when(complete, "removed").otherwise("missing")))
         .when(gone("a.status"), F.when(there, "removed"))
         .when(F.col("a.status") >= 400, "skipped")
         .when(~there, "added")
         .when(F.col("a.content").eqNullSafe(F.col("b.content")), "unchanged")
         .otherwise("modified")
     )
-    return j.select("url", change.alias("change")).filter("change is not null")
+
+
+def compare_all_runs(pages: DataFrame, runs: DataFrame) -> DataFrame:
+    """``(site, run, url, change)``: every run of a site but its first as ``compare_runs`` has it, against its
+    site as of the run before. ``pages`` as there, ``runs`` has run, site, complete, a row for each run.
+    """
+    taken = pages.groupBy("run", "url").agg(F.max(F.struct("status", "content")).alias("s")).select("run", "url", F.struct("s.content", "s.status").alias("a")).join(runs.select("run", "site"), "run")
+    known = taken.groupBy("site", "url").agg(F.min("run").alias("known"))
+    starts = runs.groupBy("site").agg(F.min("run").alias("start"))
+    grid = known.join(runs.join(starts, "site"), "site").filter("run >= known").join(taken, ["site", "url", "run"], "left")
+    earlier = Window.partitionBy("site", "url").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    states = grid.withColumn("b", F.last("a", ignorenulls=True).over(earlier)).filter("run > start")
+    return states.select("site", "run", "url", _change(F.col("complete")).alias("change")).filter("change is not null")
 
 
 def observations(pages: DataFrame) -> DataFrame:

@@ -380,6 +380,17 @@ def asof_compare(s: SparkSession, d: str) -> DataFrame:
     return history.compare_runs(p, 4, 5)
 
 
+@query("asof_compare_all", f"""WITH p AS ({_PAGES}), r AS (SELECT DISTINCT run, site, coalesce(status = 'finished', false) AS complete FROM runs), v AS (SELECT site, url, run, arg_max(struct_pack(content := content, status := p.status), page_id) AS a FROM p JOIN r USING (run) GROUP BY 1, 2, 3),
+u AS (SELECT site, url, min(run) AS known FROM v GROUP BY 1, 2), g AS (SELECT u.site, u.url, r.run, r.complete, v.a FROM u JOIN r ON r.site = u.site AND r.run >= u.known LEFT JOIN v ON v.site = u.site AND v.url = u.url AND v.run = r.run),
+s AS (SELECT *, last_value(a IGNORE NULLS) OVER (PARTITION BY site, url ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM g), t AS (SELECT site, run, url, complete, a IS NOT NULL AS now, b IS NOT NULL AND coalesce(b.status NOT IN (404, 410), true) AS there, a.status AS st, a.content AS ac, b.content AS bc FROM s WHERE run > (SELECT min(run) FROM r WHERE r.site = s.site))
+SELECT * FROM (SELECT site, run, url, CASE WHEN NOT now THEN CASE WHEN there THEN CASE WHEN complete THEN 'removed' ELSE 'missing' END END WHEN st IN (404, 410) THEN CASE WHEN there THEN 'removed' END WHEN st >= 400 THEN 'skipped' WHEN NOT there THEN 'added' WHEN ac IS NOT DISTINCT FROM bc THEN 'unchanged' ELSE 'modified' END AS change FROM t) WHERE change IS NOT NULL""")
+def asof_compare_all(s: SparkSession, d: str) -> DataFrame:
+    """Every run of every site against its site as of the run before; urls absent from a run that was stopped are missing."""
+    p = _history(s, d).groupBy("url", "run").agg(F.max(F.struct("page_id", "content", "status")).alias("r")).select("url", "run", "r.content", "r.status")
+    runs = once(table(s, d, "runs").select("run", "site", F.coalesce(F.col("status") == "finished", F.lit(False)).alias("complete")), "run")
+    return history.compare_all_runs(p, runs)
+
+
 _OBSERVED = f"""WITH p AS ({_PAGES}), r AS (SELECT url, run, min(fetched) AS t, arg_min(content, fetched) AS fc, arg_max(content, fetched) AS lc FROM p GROUP BY 1, 2), l AS (SELECT *, lag(lc) OVER w AS before, lag(run) OVER w IS NOT NULL AS seen FROM r WINDOW w AS (PARTITION BY url ORDER BY run)),
 o AS (SELECT url, count(*) AS n, count(*) FILTER (seen AND fc IS DISTINCT FROM before) AS changes, min(t) AS a, max(t) AS b FROM l GROUP BY 1), f AS (SELECT *, CASE WHEN n > 1 AND b > a THEN -ln((n - changes) / (n + 0.5)) / ((b - a) / (n - 1) / 86400) END AS rate FROM o)"""
 

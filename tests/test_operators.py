@@ -227,6 +227,13 @@ def test_history(spark):
     assert ("c", "missing") in rows(history.compare_runs(c, 1, 2, complete=False))
 
 
+def test_every_run_meets_its_own_site(spark):
+    pages = [(1, "a/x", "1", 200), (1, "a/y", "1", 200), (2, "a/x", "2", 200), (2, "a/z", "1", 200), (3, "a/x", "2", 200), (3, "a/z", None, 500), (4, "b/x", "1", 200), (4, "b/y", "1", 404), (5, "b/x", None, 404), (5, "b/y", "1", 200)]
+    runs = [(1, "a", True), (2, "a", False), (3, "a", True), (4, "b", True), (5, "b", True)]
+    got = history.compare_all_runs(spark.createDataFrame(pages, "run int, url string, content string, status int"), spark.createDataFrame(runs, "run int, site string, complete boolean"))
+    assert rows(got.select("run", "url", "change")) == [(2, "a/x", "modified"), (2, "a/y", "missing"), (2, "a/z", "added"), (3, "a/x", "unchanged"), (3, "a/y", "removed"), (3, "a/z", "skipped"), (5, "b/x", "removed"), (5, "b/y", "added")]
+
+
 def test_rankings(spark):
     r = spark.createDataFrame([("q1", 1, "u1", "a", "web", "2024-01-02"), ("q1", 2, "u2", "b", "web", "2024-01-02"), ("q2", 1, "u2", "b", "web", "2024-01-02"), ("q2", 3, "u3", "c", "news", "2024-01-02"), ("q1", 9, "u1", "a", "web", "2024-01-01")], "query string, position int, url string, domain string, type string, fetched string")
     top = ranking.competitors(r).collect()
