@@ -110,16 +110,19 @@ def units(mentions: DataFrame, kind: str = "company") -> DataFrame:
 def resolve(mentions: DataFrame, kind: str = "company", block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """``(entities, review)``: entities has (id, entity, name); review the pairs of units between both thresholds.
 
-    Units are compared within blocks (words, initials, sites, phones, codes); blocks of over
-    ``block`` units are left out, as the semantics to match have it: their units still meet in
-    their other blocks, the exact key among them.
+    Units are compared within blocks (words, pairs of the first four words, initials, cores, sites,
+    phones, codes). Words, pairs of words and initials of over ``block`` units are too common to
+    suggest a match and are left out, as the semantics to match have it; equal cores, sites,
+    phones and codes are compared whatever their number.
     """
     m = units(mentions, kind)
     sig = ["key", "core", "words", "initials", "site", "phone", "code"]
     u = written(m.groupBy(*sig).agg(F.min("id").alias("unit"), F.count(F.lit(1)).alias("n")), "units")
-    keys = F.array_compact(F.concat(F.transform("words", lambda w: F.concat(F.lit("w:"), w)), F.array(F.concat(F.lit("k:"), F.col("core")), F.when(F.col("initials") != "", F.concat(F.lit("i:"), F.col("initials"))), F.when(F.col("words")[0] == F.col("core"), F.concat(F.lit("i:"), F.col("core"))), F.concat(F.lit("s:"), F.col("site")), F.concat(F.lit("p:"), F.col("phone")), F.concat(F.lit("c:"), F.col("code")))))
+    first = F.array_sort(F.array_distinct(F.slice("words", 1, 4)))
+    couples = F.flatten(F.transform(first, lambda p: F.transform(F.filter(first, lambda q: q > p), lambda q: F.concat(F.lit("w2:"), p, F.lit("|"), q))))
+    keys = F.array_compact(F.concat(F.transform("words", lambda w: F.concat(F.lit("w:"), w)), couples, F.array(F.concat(F.lit("k:"), F.col("core")), F.when(F.col("initials") != "", F.concat(F.lit("i:"), F.col("initials"))), F.when(F.col("words")[0] == F.col("core"), F.concat(F.lit("i:"), F.col("core"))), F.concat(F.lit("s:"), F.col("site")), F.concat(F.lit("p:"), F.col("phone")), F.concat(F.lit("c:"), F.col("code")))))
     blocks = u.select("unit", F.explode(F.array_distinct(keys)).alias("block"))
-    sizes = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("size")).filter((F.col("size") > 1) & ((F.col("size") <= block) | (F.col("block").rlike("^[spc]:") & (F.col("size") <= 10 * block))))
+    sizes = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("size")).filter((F.col("size") > 1) & ((F.col("size") <= block) | F.col("block").rlike("^[kspc]:")))
     kept = blocks.join(sizes, "block").select("block", "unit")
     pairs = kept.alias("l").join(kept.alias("r"), (F.col("l.block") == F.col("r.block")) & (F.col("l.unit") < F.col("r.unit"))).select(F.col("l.unit").alias("a"), F.col("r.unit").alias("b")).distinct()
     s = u.select("unit", F.struct(*sig).alias("s"))

@@ -264,6 +264,20 @@ def test_entities(spark):
     assert entities.gtin14("0-306-40615-2") == "09780306406157" and entities.gtin14("123") is None
 
 
+def test_entities_of_common_words(spark):
+    """Each word is in more units than a block may have; the pairs of words are not."""
+    names = [(1, "Blue Star Tools Works"), (2, "Blue Star Tools")] + [(100 + i, f"{w} Other{i}") for i, w in enumerate(["Blue", "Star", "Tools", "Works"] * 12)]
+    m = spark.createDataFrame([(i, n, "https://bst.example" if i == 1 else None) for i, n in names], "id bigint, name string, website string")
+    entity, review = entities.resolve(m, block=10)
+    got = {r["id"]: r["entity"] for r in entity.collect()}
+    assert got[1] == got[2] or (1, 2) in {(r["a"], r["b"]) for r in review.collect()}
+
+
+def test_entities_of_a_hot_name(spark):
+    m = spark.createDataFrame([(i, "Hot Name", f"+49 30 {1000 + i}") for i in range(40)], "id bigint, name string, phone string")
+    assert {r["entity"] for r in entities.resolve(m, block=10)[0].collect()} == {0}
+
+
 def test_graph(spark):
     df = spark.createDataFrame([("Lamp", "Acme", "u1", 0.5), ("lamp", "Acme", "u2", 0.9), ("Desk", "", "u3", 1.0)], "name string, brand string, url string, c double")
     nodes, edges = graph.build_graph(df, ("product", "name"), [("made_by", "brand", "brand")], confidence="c")
