@@ -43,8 +43,8 @@ UNSPACED = frozenset(("Hiragana", "Katakana", "Han", "Thai"))
 
 
 def main_script(text: str) -> str | None:
-    """The script of most of the first 5,000 letters; kana tell Japanese from Chinese."""
-    letters = "".join(c for c in text if c.isalpha())[:5000]
+    """The script of most letters of the whole text; kana tell Japanese from Chinese."""
+    letters = "".join(c for c in text if c.isalpha())
     counts = {n: len(p.findall(letters)) for n, p in _PATTERNS}
     if counts["Hiragana"] + counts["Katakana"] > 0.1 * max(1, counts["Han"]) and counts["Hiragana"] + counts["Katakana"] + counts["Han"] > counts["Latin"]:
         return "Hiragana"

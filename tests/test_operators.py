@@ -264,6 +264,14 @@ def test_entities(spark):
     assert entities.gtin14("0-306-40615-2") == "09780306406157" and entities.gtin14("123") is None
 
 
+def test_script_of_a_long_text(spark):
+    from loomspark.functions.text import analyze
+
+    text = "An English preamble comes first. " * 250 + "これは日本語で書かれた長い文章です。" * 900
+    got = spark.createDataFrame([(text,)], "t string").select(analyze(F.col("t")).alias("a")).select("a.*").first()
+    assert (got["script"], got["language"], got["words"]) == ("Hiragana", "ja", None)
+
+
 def test_entities_of_common_words(spark):
     """Each word is in more units than a block may have; the pairs of words are not."""
     names = [(1, "Blue Star Tools Works"), (2, "Blue Star Tools")] + [(100 + i, f"{w} Other{i}") for i, w in enumerate(["Blue", "Star", "Tools", "Works"] * 12)]
