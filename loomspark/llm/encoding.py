@@ -3,23 +3,28 @@
 1. Words are joined with their near-twins on what is left without non-ASCII characters. In each
    such group the most frequent spelling is the clean one; every other one is aligned with it,
    and the codec pairs (decoded as, written in) that turn the clean runs into the garbled ones
-   are counted. Words without ASCII letters have nothing to join on: there a pair counts when
-   what it restores is a more frequent word of the corpus.
-2. Pairs with enough distinct twins are the learned transformations.
-3. They are applied to all records. Text written in UTF-8 shows in every place by its byte
-   pattern. Other pairs are applied to whole stretches, where the pairs of neighbouring
-   characters become likelier by it, measured over the whole corpus.
+   are its explanations. Words without ASCII letters have nothing to join on: there a pair
+   explains a word when what it restores is a more frequent word of the corpus.
+2. Pairs are learned greedily: the one that explains most twins first, then only by twins that no
+   learned pair explains. So chance twins, which grow with the corpus, teach nothing that another
+   pair shows already.
+3. They are applied to all records, stretch by stretch, where the restored text is likelier.
+   Likelihood is the share of bodies with each pair of neighbouring characters, so the test is the
+   same at every size. Text written in UTF-8 shows by its byte pattern as well; any other pair must
+   make a stretch likelier by ``ODDS`` in all and by ``GAIN`` a pair of characters.
 4. Characters that were lost (replacement characters, question marks within words) can't be had
-   again; such records are found, without a text.
+   again; such records are found, without a text. Where a question mark could end a sentence, the
+   word must be the twin of a clean one.
 """
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import math
 import re
 from collections.abc import Iterator
-from functools import cache, lru_cache
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,15 +32,23 @@ from pyspark.sql import functions as F
 
 from loomspark.catalog import spread, table, written
 
-#: Distinct twins a transformation needs: one out of UTF-8 proves itself by its byte pattern.
+#: Distinct twins that only this transformation explains: one out of UTF-8 proves itself by its byte pattern.
 UTF8_TWINS, OTHER_TWINS = 1, 3
-#: Share of bodies from which a pair of characters counts as known, and the gain that accepts a text.
-KNOWN, GAIN = 0.0005, 0.7
+#: The least share of all explained twins that a pair must explain alone (those out of UTF-8 need none).
+TWIN_SHARE = 0.0005
+#: Share of bodies from which a pair of characters counts as known (unknown ones count as half of it),
+#: and the gain of likelihood that accepts a text: per pair of characters, and in all (odds of 100 to 1).
+KNOWN, GAIN, ODDS = 0.0005, 0.7, math.log(100)
+UNKNOWN = math.log(KNOWN / 2)
+#: Stretches whose restoration a task remembers.
+REMEMBERED = 50_000
 
 DECODED_AS = ["windows-1252", "mac_roman", "cp1251", "cp1250", "iso8859_2", "koi8_r", "cp437", "cp850", "cp866", "iso8859_15", "cp1254"]
 WRITTEN_IN = ["utf-8", "cp1250", "iso8859_2", "cp1251", "koi8_r", "cp866", "iso8859_5", "cp932", "euc_jp", "windows-1252", "mac_roman"]
 Pair = tuple[str, str]
 PAIRS: list[Pair] = [(a, b) for a in DECODED_AS for b in WRITTEN_IN if a != b]
+PAIR_NUMBER = {p: i for i, p in enumerate(PAIRS)}
+SEVERAL_BYTES = ("cp932", "euc_jp")
 UTF8_PAIRS: tuple[Pair, ...] = (("windows-1252", "utf-8"), ("mac_roman", "utf-8"), ("cp1251", "utf-8"))
 
 _WORD = re.compile(r"[^\s<>\"'(),;:!?./|=&{}\[\]]*[^\x00-\x7f][^\s<>\"'(),;:!?./|=&{}\[\]]*")
@@ -62,11 +75,15 @@ def _bytes(codec: str) -> dict[str, int]:
     return out
 
 
+@cache
+def _map(codec: str) -> dict[int, int]:
+    return {ord(c): i for c, i in _bytes(codec).items()}
+
+
 def _encode(text: str, codec: str) -> bytes | None:
-    to = _bytes(codec)
     try:
-        return bytes([to[c] for c in text])
-    except KeyError:
+        return codecs.charmap_encode(text, "strict", _map(codec))[0]
+    except UnicodeError:
         return None
 
 
@@ -130,8 +147,8 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [(w, *p) for w, clean in zip(b.column("word").to_pylist(), b.column("clean").to_pylist()) for p in twin_pairs(w, clean)]
-        yield _triples(rows, "word")
+        rows = [(w, PAIR_NUMBER[p]) for w, clean in zip(b.column("word").to_pylist(), b.column("clean").to_pylist()) for p in twin_pairs(w, clean)]
+        yield _record([("word", pa.string()), ("pair", pa.int32())], rows)
 
 
 def _restored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,49 +158,71 @@ def _restored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for p in PAIRS:
                 r = undo(w, p)
                 if r and r != w and not r.isascii() and r.isprintable():
-                    rows.append((w, r, *p))
-        cols = list(zip(*rows)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["word", "restored", "decoded", "wrote"])
+                    rows.append((w, r, PAIR_NUMBER[p]))
+        yield _record([("word", pa.string()), ("restored", pa.string()), ("pair", pa.int32())], rows)
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of four or more non-ASCII characters, as they stand and as several-byte codecs restore them."""
     for b in batches:
-        rows = []
+        rows, stretches = [], set()
         for body in b.column("body").to_pylist():
-            if not body or body.isascii():
+            if body and not body.isascii():
+                stretches |= {m[0] for m in _STRETCH.finditer(body) if not m[0].isascii()}
+        for s in stretches:
+            if sum(c > "\x7f" for c in s) < 4:
                 continue
-            for s in {m[0] for m in _STRETCH.finditer(body) if not m[0].isascii()}:
-                rows += [(s, x, "", "") for x in set(_NON_ASCII.findall(s)) if len(x) >= 4]
-                for p in PAIRS:
-                    if p[1] in ("cp932", "euc_jp") and (r := undo(s, p)) and r != s:
-                        rows += [(s, x, *p) for x in set(_NON_ASCII.findall(r)) if len(x) >= 4]
-        cols = list(zip(*rows)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["word", "run", "decoded", "wrote"])
+            rows += [(s, x, -1) for x in set(_NON_ASCII.findall(s)) if len(x) >= 4]
+            for codec in DECODED_AS:
+                if (raw := _encode(s, codec)) is None:
+                    continue
+                for wrote in SEVERAL_BYTES:
+                    if (r := _decode(raw, wrote)) and r != s:
+                        rows += [(s, x, PAIR_NUMBER[codec, wrote]) for x in set(_NON_ASCII.findall(r)) if len(x) >= 4]
+        yield _record([("word", pa.string()), ("run", pa.string()), ("pair", pa.int32())], rows)
 
 
-def _triples(rows: list, name: str) -> pa.RecordBatch:
-    cols = list(zip(*rows)) or [[]] * 3
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], [name, "decoded", "wrote"])
+def _record(fields: list[tuple[str, pa.DataType]], rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) or [[]] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, fields)], [n for n, _ in fields])
 
 
-def learn_pairs(bodies: DataFrame) -> list[Pair]:
-    """The transformations that twins show, most twins first. There are at most ``len(PAIRS)``."""
+def _corpus_words(bodies: DataFrame) -> DataFrame:
     words = bodies.filter("body is not null").mapInArrow(_words, "word string, skeleton string").groupBy("word", "skeleton").agg(F.count(F.lit(1)).alias("n"))
-    words = written(words, "words")
+    return written(words, "words")
+
+
+def explained_twins(bodies: DataFrame, words: DataFrame) -> DataFrame:
+    """``(word, pairs)``: garbled words or stretches with the numbers of all pairs that explain them."""
     joined = words.filter("length(skeleton) >= 3")
     best = joined.groupBy("skeleton").agg(F.max(F.struct("n", "word")).alias("b")).select("skeleton", F.col("b.word").alias("clean"), F.col("b.n").alias("clean_n"))
-    near = joined.join(best, "skeleton").filter("word <> clean and n < clean_n").mapInArrow(_aligned, "word string, decoded string, wrote string")
-    forms = words.filter("length(skeleton) < 3").mapInArrow(_restored, "word string, restored string, decoded string, wrote string")
+    near = joined.join(best, "skeleton").filter("word <> clean and n < clean_n").mapInArrow(_aligned, "word string, pair int")
+    forms = words.filter("length(skeleton) < 3").mapInArrow(_restored, "word string, restored string, pair int")
     # twice the frequency tells the clean word from another garbled one
-    other = forms.join(words.select(F.col("word").alias("restored"), F.col("n").alias("clean_n")), "restored").join(words.select("word", "n"), "word").filter("clean_n >= 2 * n").select("word", "decoded", "wrote")
+    other = forms.join(words.select(F.col("word").alias("restored"), F.col("n").alias("clean_n")), "restored").join(words.select("word", "n"), "word").filter("clean_n >= 2 * n").select("word", "pair")
     # texts without spaces have no words: there the twin is a run of characters
-    runs = written(bodies.filter("body is not null").mapInArrow(_runs, "word string, run string, decoded string, wrote string"), "runs")
-    clean = runs.filter("decoded = ''").groupBy("run").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").select("run")
-    spaceless = runs.filter("decoded <> ''").join(clean, "run", "left_semi").select("word", "decoded", "wrote")
-    counts = near.unionByName(other).unionByName(spaceless).distinct().groupBy("decoded", "wrote").agg(F.count(F.lit(1)).alias("n")).collect()
-    found = [(r["n"], (r["decoded"], r["wrote"])) for r in counts if r["n"] >= (UTF8_TWINS if r["wrote"] == "utf-8" else OTHER_TWINS)]
-    return [p for _, p in sorted(found, key=lambda x: (-x[0], x[1]))]
+    runs = written(bodies.filter("body is not null").mapInArrow(_runs, "word string, run string, pair int"), "runs")
+    clean = runs.filter("pair < 0").groupBy("run").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").select("run")
+    spaceless = runs.filter("pair >= 0").join(clean, "run", "left_semi").select("word", "pair")
+    return near.unionByName(other).unionByName(spaceless).groupBy("word").agg(F.collect_set("pair").alias("pairs"))
+
+
+def learn_pairs(bodies: DataFrame, words: DataFrame | None = None) -> list[tuple[Pair, int]]:
+    """The transformations that twins show, with the twins that each explains beyond those before it.
+
+    A round of the greedy choice is one combined count over the written twins; there are at most
+    ``len(PAIRS)`` rounds, and each brings ``len(PAIRS)`` numbers to the driver at most.
+    """
+    twins = written(explained_twins(bodies, words or _corpus_words(bodies)), "twins")
+    total, chosen = twins.count(), []
+    while True:
+        left = twins.filter(~F.arrays_overlap("pairs", F.array(*[F.lit(PAIR_NUMBER[p]) for p, _ in chosen]).cast("array<int>"))) if chosen else twins
+        counts = {PAIRS[r["pair"]]: r["n"] for r in left.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("n")).collect()}
+        enough = [p for p, n in counts.items() if n >= (UTF8_TWINS if p[1] == "utf-8" else max(OTHER_TWINS, TWIN_SHARE * total))]
+        if not enough:
+            return chosen
+        p = min(enough, key=lambda p: (-counts[p], PAIR_NUMBER[p]))
+        chosen.append((p, counts[p]))
 
 
 def _pairs_of(text: str) -> set[str]:
@@ -197,91 +236,151 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def known_neighbours(bodies: DataFrame) -> dict[str, float]:
-    """Logarithm of the number of bodies with each pair of characters that ``KNOWN`` of all have.
+    """Logarithm of the share of bodies with each pair of characters that ``KNOWN`` of all have.
 
     At most (pairs in a body / ``KNOWN``) pairs pass, however many bodies there are.
     """
     total = bodies.count()
     found = bodies.filter("body is not null").mapInArrow(_neighbours, "pair string").groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
-    return {r["pair"]: math.log(r["n"]) for r in found.filter(F.col("n") >= max(2, KNOWN * total)).collect()}
+    return {r["pair"]: math.log(r["n"] / total) for r in found.filter(F.col("n") >= max(2, KNOWN * total)).collect()}
+
+
+def _likely(text: str, known: dict[str, float]) -> tuple[float, int]:
+    """Sum of the logarithmic shares of the pairs around non-ASCII characters, and their number."""
+    total, n, get = 0.0, 0, known.get
+    for m in _NON_ASCII.finditer(text):
+        for i in range(max(0, m.start() - 1), min(len(text) - 1, m.end())):
+            total += get(text[i : i + 2], UNKNOWN)
+            n += 1
+    return total, n
+
+
+class Restorer:
+    """Undoes learned transformations; without ``known`` only those out of UTF-8, by their byte pattern."""
+
+    def __init__(self, pairs: tuple[Pair, ...] | list[Pair] = UTF8_PAIRS, known: dict[str, float] | None = None) -> None:
+        self.utf8 = list(dict.fromkeys(p[0] for p in pairs if p[1] == "utf-8"))
+        self.rest: dict[str, list[str]] = {}
+        for a, b in pairs:
+            if b != "utf-8" and known is not None:
+                self.rest.setdefault(a, []).append(b)
+        self.known, self._seen = known, {}
+
+    def options(self, s: str) -> list[tuple[Pair, str, float]]:
+        """(pair, stretch decoded anew, gain) of the pairs that make a stretch likelier."""
+        found = self._seen.get(s)
+        if found is None:
+            if len(self._seen) >= REMEMBERED:
+                self._seen.clear()
+            found = self._seen[s] = self._options(s)
+        return found
+
+    def _options(self, s: str) -> list[tuple[Pair, str, float]]:
+        out, (before, n) = [], _likely(s, self.known)
+        for codec in self.utf8:
+            if (r := undo_utf8(s, codec)) != s and (gain := _likely(r, self.known)[0] - before) > 0:
+                out.append(((codec, "utf-8"), r, gain))
+        for codec, wrote in self.rest.items():
+            if (raw := _encode(s, codec)) is None:
+                continue
+            for w in wrote:
+                r = _decode(raw, w)
+                if r is None or r == s or not r.replace("\xa0", " ").isprintable():
+                    continue
+                after, k = _likely(r, self.known)
+                # per pair of characters, as some codecs make one character of two
+                gain = after / max(1, k) - before / max(1, n)
+                if gain >= GAIN and gain * max(k, 1) >= ODDS:
+                    out.append(((codec, w), r, gain * max(k, 1)))
+        return out
+
+    def restore(self, text: str) -> tuple[str, bool]:
+        """``text`` with every garbled place restored, and whether anything was."""
+        if not text or text.isascii():
+            return text, False
+        if self.known is None:
+            new = text
+            for codec in self.utf8:
+                new = undo_utf8(new, codec)
+            return new, new != text
+        parts = [(m.start(), m.end(), m[0]) for m in _STRETCH.finditer(text) if not m[0].isascii()]
+        changed = False
+        for _ in range(4):  # text garbled in two ways takes two turns
+            total: dict[Pair, float] = {}
+            found = [self.options(s) for _, _, s in parts]
+            for options in found:
+                for pair, _, gain in options:
+                    total[pair] = total.get(pair, 0.0) + gain
+            if not total:
+                break
+            best = max(total, key=total.get)
+            parts = [(a, b, next((r for pair, r, _ in options if pair == best), s)) for (a, b, s), options in zip(parts, found)]
+            changed = True
+        if not changed:
+            return text, False
+        out, at = [], 0
+        for a, b, s in parts:
+            out += [text[at:a], s]
+            at = b
+        new = "".join(out) + text[at:]
+        return new, new != text
 
 
-def _likely(text: str, known: dict[str, float]) -> float:
-    pairs = [text[i : i + 2] for m in _NON_ASCII.finditer(text) for i in range(max(0, m.start() - 1), min(len(text) - 1, m.end()))]
-    return sum(known.get(p, -1.0) for p in pairs) / len(pairs) if pairs else 0.0
+_by_pattern = Restorer()
 
 
 def restore_text(text: str, pairs: tuple[Pair, ...] | list[Pair] = UTF8_PAIRS, known: dict[str, float] | None = None) -> tuple[str, bool]:
-    """``text`` with every garbled place restored, and whether anything was.
-
-    Without ``known`` only transformations out of UTF-8 are undone.
-    """
-    if not text or text.isascii():
-        return text, False
-    codecs = list(dict.fromkeys(p[0] for p in pairs if p[1] == "utf-8"))
-    if known is None:
-        new = text
-        for codec in codecs:
-            new = undo_utf8(new, codec)
-        return new, new != text
-    new, rest = text, [p for p in pairs if p[1] != "utf-8"]
-    for _ in range(4):  # text garbled in two ways takes two turns
-        now = _likely(new, known)
-        options = [undo_utf8(new, c) for c in codecs] + _undo_stretches(new, rest, known)
-        best = max((o for o in options if o != new), key=lambda o: _likely(o, known), default=new)
-        if best == new or _likely(best, known) <= now:
-            break
-        new = best
-    return new, new != text
-
-
-def _undo_stretches(text: str, pairs: list[Pair], known: dict[str, float]) -> list[str]:
-    """For each pair the text with those stretches decoded anew that become likelier by ``GAIN``."""
-    stretches = [(m.start(), m.end(), m[0], _likely(m[0], known)) for m in _STRETCH.finditer(text) if not m[0].isascii()]
-    texts = []
-    for p in pairs:
-        out, at = [], 0
-        for a, b, s, before in stretches:
-            r = undo(s, p)
-            if r is not None and r != s and r.replace("\xa0", " ").isprintable() and _likely(r, known) - before >= GAIN:
-                out += [text[at:a], r]
-                at = b
-        if at:
-            texts.append("".join(out) + text[at:])
-    return texts
+    """``text`` with every garbled place restored, and whether anything was; see ``Restorer``."""
+    return (_by_pattern if known is None and pairs is UTF8_PAIRS else Restorer(pairs, known)).restore(text)
 
 
 _TOKEN = re.compile(r"[^\s<>\"]+")
 _LOST = re.compile(r"(?<!\d)[^\W\d_]\?+[^\W\d_]|\?\?\?|^[(«„]?\?[^\W\d_]")
-_LONE = re.compile(r"[^\W\d_]\? +[a-zß-ÿ]|>\s*\? (?=\w)|^\? (?=\w)")
+_LONE = re.compile(r"(?<![^\s>])([^\W\d_]*\?)(?= +[a-zß-ÿ])|>\s*(\?)(?= \w)|^(\?)(?= \w)")
 _ATTRIBUTES = re.compile(r"<[^>]*>")
 
 
-def lost_characters(text: str) -> bool:
-    """Whether characters were lost: replacement characters, or question marks where letters stood."""
+def mask(word: str) -> str:
+    """A word as it looks where every non-ASCII character was lost."""
+    return _NON_ASCII.sub(lambda m: "?" * len(m[0]), word)
+
+
+def masks(words: DataFrame, bodies: int) -> frozenset[str]:
+    """The masks of the words that ``KNOWN`` of all bodies have; at most (words of a body / ``KNOWN``)."""
+    rows = words.filter(F.col("n") >= max(2, KNOWN * bodies)).select("word").collect()
+    return frozenset(mask(r["word"]) for r in rows)
+
+
+def lost_characters(text: str, masks: frozenset[str] = frozenset()) -> bool:
+    """Whether characters were lost: replacement characters, or question marks where letters stood.
+
+    A question mark after a word and before a small letter counts where ``masks`` has the word.
+    """
     if "�" in text:
         return True
     if "?" not in text:
         return False
     plain = _ATTRIBUTES.sub("<>", text)
-    if _LONE.search(plain):
+    if any((m[1] or m[2] or m[3]) in masks for m in _LONE.finditer(plain)):
         return True
     return any("?" in t and not re.search(r"[/=&@\\]|\.\w+\?", t) and _LOST.search(t) for t in _TOKEN.findall(plain))
 
 
-def _found(pairs: list[Pair], known: dict[str, float]):
+def _found(pairs: list[Pair], known: dict[str, float], lost_words: frozenset[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        restorer = Restorer(pairs, known)
         for b in batches:
-            ids, sums = [], []
+            rows = []
             for i, body in zip(b.column("response_id").to_pylist(), b.column("body").to_pylist()):
                 if not body:
                     continue
-                lost = lost_characters(body)
-                text, changed = (body, False) if lost else restore_text(body, pairs, known)
-                if lost or changed:
-                    ids.append(i)
-                    sums.append("" if lost else hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sums, pa.string())], ["response_id", "restored_md5"])
+                if lost_characters(body, lost_words):
+                    rows.append((i, ""))
+                    continue
+                text, changed = restorer.restore(body)
+                if changed:
+                    rows.append((i, hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest()))
+            yield _record([("response_id", pa.int64()), ("restored_md5", pa.string())], rows)
 
     return run
 
@@ -293,8 +392,10 @@ def garbled_bodies(responses: DataFrame) -> DataFrame:
     delivered twice comes out once.
     """
     bodies = spread(responses.filter("body is not null").select("response_id", "body"))
-    pairs, known = learn_pairs(bodies), known_neighbours(bodies)
-    return bodies.filter("body is not null").mapInArrow(_found(pairs, known), "response_id bigint, restored_md5 string").groupBy("response_id").agg(F.min("restored_md5").alias("restored_md5"))
+    words = _corpus_words(bodies)
+    known, lost_words = known_neighbours(bodies), masks(words, bodies.count())
+    pairs = [p for p, _ in learn_pairs(bodies, words)]
+    return bodies.mapInArrow(_found(pairs, known, lost_words), "response_id bigint, restored_md5 string").groupBy("response_id").agg(F.min("restored_md5").alias("restored_md5"))
 
 
 def p6_found(spark, sf_dir: str) -> DataFrame:
@@ -302,6 +403,6 @@ def p6_found(spark, sf_dir: str) -> DataFrame:
 
 
 def p6_pairs(spark, sf_dir: str) -> DataFrame:
-    """The learned transformations, in the order of their evidence."""
-    pairs = learn_pairs(table(spark, sf_dir, "responses").select("response_id", "body"))
-    return spark.createDataFrame([(i + 1, *p) for i, p in enumerate(pairs)], "rank int, decoded_as string, written_in string")
+    """The learned transformations, in the order of their evidence, with the twins that each alone explains."""
+    pairs = learn_pairs(spread(table(spark, sf_dir, "responses").select("response_id", "body")))
+    return spark.createDataFrame([(i + 1, *p, n) for i, (p, n) in enumerate(pairs)], "rank int, decoded_as string, written_in string, twins bigint")

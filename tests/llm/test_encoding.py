@@ -27,9 +27,24 @@ def test_twins_show_the_transformation():
     assert G.twin_pairs("fur", "für") == []
 
 
-@pytest.mark.parametrize("text,lost", [("pre�o", True), ("pre?o bajo", True), ("Perch? scegliere", True), ("What? Yes. Is it?", False), ("see https://a.example/x.php?id=4", False), ("Qui ? Lui.", False), ("????? ??", True), ("", False)])
+@pytest.mark.parametrize("text,lost", [("pre�o", True), ("pre?o bajo", True), ("Perch? scegliere", True), ("Really? yes, really.", False), ("What? Yes. Is it?", False), ("see https://a.example/x.php?id=4", False), ("Qui ? Lui.", False), ("????? ??", True), ("", False)])
 def test_lost_characters(text, lost):
-    assert G.lost_characters(text) is lost
+    assert G.lost_characters(text, frozenset(map(G.mask, ("perché", "Perché", "più")))) is lost
+
+
+def test_a_likely_word_of_another_language_is_left():
+    """One letter is no evidence: Italian \"è\" between blanks is the byte of a frequent Russian word."""
+    known = {p: G.math.log(0.09) for p in (" è", "è ", " и", "и ")}
+    r = G.Restorer([("windows-1252", "cp1251")], known)
+    assert r.restore("la porta è aperta") == ("la porta è aperta", False)
+    assert G.Restorer([("windows-1252", "utf-8")], known).restore("la porta Ã¨ aperta") == ("la porta è aperta", True)
+
+
+def test_chance_twins_teach_nothing(spark):
+    """Twins that a learned pair explains don't count for another; the rest needs ``OTHER_TWINS`` of its own."""
+    rows = [(i, f"für schöne Grüße über Köln mähen {i}") for i in range(40)] + [(100 + i, G.garble("für schöne Grüße über Köln mähen", ("windows-1252", "utf-8"))) for i in range(3)]
+    got = G.learn_pairs(spark.createDataFrame(rows, "response_id bigint, body string"))
+    assert [p for p, _ in got] == [("windows-1252", "utf-8")] and got[0][1] == 6
 
 
 def test_bodies(spark):
