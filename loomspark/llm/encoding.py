@@ -54,6 +54,8 @@ UTF8_PAIRS: tuple[Pair, ...] = (("windows-1252", "utf-8"), ("mac_roman", "utf-8"
 _WORD = re.compile(r"[^\s<>\"'(),;:!?./|=&{}\[\]]*[^\x00-\x7f][^\s<>\"'(),;:!?./|=&{}\[\]]*")
 _NON_ASCII = re.compile(r"[^\x00-\x7f]+")
 _STRETCH = re.compile(r"[^<>\"\r\n]+")
+#: Four characters of codecs with several bytes, each byte read as a character: the first of each isn't ASCII, none is a blank.
+_COULD_BE_RUN = re.compile(r"(?:[^\x00-\x7f][^ \t]?){4}")
 
 
 @cache
@@ -155,10 +157,12 @@ def _restored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
         for w in b.column("word").to_pylist():
-            for p in PAIRS:
-                r = undo(w, p)
-                if r and r != w and not r.isascii() and r.isprintable():
-                    rows.append((w, r, PAIR_NUMBER[p]))
+            for codec in DECODED_AS:
+                if (raw := _encode(w, codec)) is None:
+                    continue
+                for wrote in WRITTEN_IN:
+                    if wrote != codec and (r := _decode(raw, wrote)) and r != w and not r.isascii() and r.isprintable():
+                        rows.append((w, r, PAIR_NUMBER[codec, wrote]))
         yield _record([("word", pa.string()), ("restored", pa.string()), ("pair", pa.int32())], rows)
 
 
@@ -170,7 +174,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if body and not body.isascii():
                 stretches |= {m[0] for m in _STRETCH.finditer(body) if not m[0].isascii()}
         for s in stretches:
-            if sum(c > "\x7f" for c in s) < 4:
+            if not _COULD_BE_RUN.search(s):
                 continue
             rows += [(s, x, -1) for x in set(_NON_ASCII.findall(s)) if len(x) >= 4]
             for codec in DECODED_AS:
@@ -197,7 +201,7 @@ def explained_twins(bodies: DataFrame, words: DataFrame) -> DataFrame:
     joined = words.filter("length(skeleton) >= 3")
     best = joined.groupBy("skeleton").agg(F.max(F.struct("n", "word")).alias("b")).select("skeleton", F.col("b.word").alias("clean"), F.col("b.n").alias("clean_n"))
     near = joined.join(best, "skeleton").filter("word <> clean and n < clean_n").mapInArrow(_aligned, "word string, pair int")
-    forms = words.filter("length(skeleton) < 3").mapInArrow(_restored, "word string, restored string, pair int")
+    forms = spread(words.filter("length(skeleton) < 3").select("word")).mapInArrow(_restored, "word string, restored string, pair int")
     # twice the frequency tells the clean word from another garbled one
     other = forms.join(words.select(F.col("word").alias("restored"), F.col("n").alias("clean_n")), "restored").join(words.select("word", "n"), "word").filter("clean_n >= 2 * n").select("word", "pair")
     # texts without spaces have no words: there the twin is a run of characters

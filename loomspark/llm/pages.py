@@ -1,15 +1,18 @@
 """Main bodies of pages, and pages whose main body is residue.
 
-Pages are parsed once into lines (blocks), each with its text-to-tag ratio. Three things mark a
-line as boilerplate: what it is made of (only links, a path, sharing labels, navigation
-elements, a heading over links), and how it is spread: a line found on ``COMMON`` or more of all
-pages of one language is a fixed part of templates. What stays is smoothed with a Gaussian and
-clustered by a threshold; lines of the content cluster are the main body.
+Pages are parsed once, as a stream of events, into lines (blocks). Main bodies: what a line is made
+of (only links, a path, sharing labels, navigation elements, a heading over links) and how it is
+spread mark it as boilerplate: a line on ``COMMON`` of the pages of one language, or on
+``SITE_COMMON`` of those of one site, is a fixed part of templates. The text-to-tag ratio of lines,
+smoothed with a Gaussian and clustered in two per page, is ``ratio_bodies``; it can't tell notices from
+sentences (README), so ``main_bodies`` follows the rule above.
 
 Residue: the fixed parts align pages of one template; what lies between them are its slots. A
 slot that holds variable names, filler or nothing is unfilled. Texts that fill slots of many
-pages, and mostly stand alone there, are error templates. A page all of whose slots are such is
-residue.
+pages, and hardly ever stand there beside others that don't, are whole-page error templates; those
+too rare to be learned are known by their wording. A page all of whose slots are such is residue.
+
+Between the steps a line is 25 bytes: key, kind and digest; no text is shuffled.
 """
 
 from __future__ import annotations
@@ -18,8 +21,11 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,12 +35,14 @@ from loomspark.llm.html import Block, parse_page
 
 #: Share of the pages of a language from which a line counts as part of templates, and least pages.
 COMMON, COMMON_PAGES = 0.04, 3
+#: The same for the pages of one site.
+SITE_COMMON, SITE_PAGES = 0.5, 5
 #: Share of all pages from which a slot's text can be an error template, and least pages.
-FREQUENT, FREQUENT_PAGES = 0.0004, 5
-#: Share of a text's pages on which nothing else stands, from which it is an error template.
-ALONE = 0.5
-#: Standard deviation of the smoothing, in lines, and the threshold in units of the page's mean.
-SIGMA, THRESHOLD = 1.0, 0.02
+FREQUENT, FREQUENT_PAGES = 0.0001, 5
+#: Share of a text's pages on which only such texts stand, from which it is an error template.
+ALONE = 0.75
+#: Standard deviation of the smoothing, in lines.
+SIGMA = 1.0
 
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 _CELLS = frozenset(("td", "th", "h1", "h2"))
@@ -45,7 +53,10 @@ _DIGITS = re.compile(r"\d+")
 _WORD = re.compile(r"[^\W\d_]+")
 _NO_KEY = re.compile(r"[^0-9A-Za-z*]+")
 
-_PARSED = "origin string, row_id bigint, lang string, lines array<struct<text:string, tag:string, mark:boolean, key:string, ratio:double>>"
+#: Bits of a line's kind: never a template line, a heading, unfilled, worded as a message.
+CELL, HEADING, UNFILLED, MESSAGE = 1, 2, 4, 8
+_PARSED = "origin string, row_id bigint, lang string, site bigint, keys array<bigint>, kinds binary, sums binary"
+_SLOTS = "origin string, row_id bigint, keys array<bigint>, kinds binary, sums binary"
 
 
 def marks(blocks: list[Block]) -> list[bool]:
@@ -64,7 +75,7 @@ def marks(blocks: list[Block]) -> list[bool]:
 
 
 def line_key(text: str, names: list[str]) -> str:
-    """What two spellings of one template line have in common: digits and names masked, garbling undone."""
+    """What two spellings of one template line have in common: digits, marks and names masked, garbling undone."""
     if not text.isascii():
         text = restore_text(text)[0]
     text = _DIGITS.sub("0", text)
@@ -72,7 +83,7 @@ def line_key(text: str, names: list[str]) -> str:
         text = text.replace(n, "*")
     letters = _WORD.findall(text)
     ascii_ = [x for x in letters if x.isascii()]
-    if text.isascii() or sum(map(len, ascii_)) < 0.5 * sum(map(len, letters)):
+    if not text.isascii() and sum(map(len, ascii_)) < 0.5 * sum(map(len, letters)):
         return text
     return _NO_KEY.sub("", text)
 
@@ -84,56 +95,6 @@ def site_names(url: str | None, title: str) -> list[str]:
     return sorted((n for n in names if len(n) > 2), key=lambda n: (-len(n), n))
 
 
-def ascii_key(key: str) -> str:
-    return _NO_KEY.sub("", key) if key.isascii() else key
-
-
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("text", pa.string()), ("tag", pa.string()), ("mark", pa.bool_()), ("key", pa.string()), ("ratio", pa.float64())]))
-    for b in batches:
-        # a few pages at a time, so that lines of very long pages don't pile up
-        for at in range(0, b.num_rows, 256):
-            c = b.slice(at, 256)
-            langs, lines = [], []
-            for url, html in zip(c.column("url").to_pylist(), c.column("html").to_pylist()):
-                blocks, title = parse_page(html)
-                lang = _LANG.search(html or "")
-                langs.append(lang[1].lower() if lang else "")
-                names = site_names(url, title)
-                rows = []
-                for x, m in zip(blocks, marks(blocks)):
-                    tag = x.path[-1] if x.path else ""
-                    key = None if m else ascii_key(line_key(x.text, names))
-                    rows.append({"text": None if m else x.text, "tag": tag, "mark": m, "key": key, "ratio": (len(x.text) - x.linked) / max(1, x.tags)})
-                lines.append(rows)
-            yield pa.RecordBatch.from_arrays([c.column("origin"), c.column("row_id"), pa.array(langs, pa.string()), pa.array(lines, kind)], ["origin", "row_id", "lang", "lines"])
-
-
-def parsed_pages(pages: DataFrame) -> DataFrame:
-    """The written lines of every page, one row per (origin, row_id); ``pages`` has origin, row_id, url, html."""
-    lines = spread(pages.filter("html is not null")).mapInArrow(_parse, _PARSED)
-    best = lines.groupBy("origin", "row_id").agg(F.min_by(F.struct("lang", "lines"), F.hash("lang", "lines")).alias("r"))
-    return written(best.select("origin", "row_id", "r.lang", "r.lines"), "lines")
-
-
-def common_lines(parsed: DataFrame) -> dict[str, frozenset]:
-    """The template lines of each language.
-
-    A page has few lines, and a line needs ``COMMON`` of a language's pages, so there are at most
-    (lines of a page / COMMON) for each of at most 26² two-letter codes, however many pages.
-    Pages that name no language have no template lines.
-    """
-    named = parsed.filter("lang <> ''")
-    pages = named.groupBy("lang").agg(F.count(F.lit(1)).alias("pages"))
-    keys = F.array_distinct(F.transform(F.filter("lines", lambda x: ~x["mark"] & ~x["tag"].isin(*_CELLS)), lambda x: x["key"]))
-    df = named.select("lang", F.explode(keys).alias("key")).groupBy("lang", "key").agg(F.count(F.lit(1)).alias("n"))
-    df = df.filter(f"n >= {COMMON_PAGES}").join(F.broadcast(pages), "lang").filter(F.col("n") >= COMMON * F.col("pages"))
-    out: dict[str, set] = {}
-    for lang, key in df.select("lang", "key").collect():
-        out.setdefault(lang, set()).add(key)
-    return {k: frozenset(v) for k, v in out.items()}
-
-
 #: Variables of template languages and what is printed for missing values.
 _VARIABLE = re.compile(r"""\{\{.*?\}\}|\{%.*?%\}|\$\{[^}]*\}|\$[A-Za-z_]\w*|<%.*?%>|<\?.*?\?>|%[A-Z][A-Z_0-9]+%|%\([a-z_]+\)s|%%\w+%%|__[A-Z][A-Z_0-9]*__|\[\[.*?\]\]|\#[A-Z][A-Z_0-9]+\#|\#\{[^}]*\}|@@\w+@@|\{[A-Za-z_][\w.]*\}|\[[A-Z][A-Z _]+\]|\[[A-Za-z]+ ?(?:name|text|title|here|date|price|address|email|company|description)[^\]]*\]|\[(?:your|company|insert|product|enter|add)\b[^\]]*\]|\[object Object\]|\bundefined\b|\bNaN\b|\bnull\b|\bNone\b|\bTODO\b|\bTBD\b|\bx{4,}\b""", re.I | re.S)
 #: The words of the common filler text.
@@ -149,9 +110,10 @@ _LOREM = frozenset(
     molestie iaculis erat dignissim rhoncus venenatis quisque aenean etiam""".split()
 )
 _DUMMY = frozenset("text sample dummy test blah foo bar baz placeholder copy content texto ejemplo prueba muestra beispiel beispieltext mustertext texte exemple testo esempio prova tekst voorbeeld przykład exempel пример текст テキスト サンプル ダミー".split())
-#: Wordings of error, refusal, script and default-text messages.
+#: Wordings of error, refusal, script and default-text messages, for messages too rare to be learned.
+_NEEDS = r"\b(?:enabl|activ|aktiv|ativ|attiv|requir|richied|kräv|wymag|требу|need|benötig|besoin|necesit|włącz|включит|abilit|habilit|schakel|inschakel|turn|switch|disabled|blocked)\w*\b"
 _MESSAGES = [
-    r"javascript",
+    _NEEDS + r".{0,40}javascript|javascript.{0,60}" + _NEEDS,
     r"scripts? (?:are|is) (?:blocked|disabled|off)",
     r"(?:page|seite|página|pagina|sidan?|strony|страница)\b.{0,30}(?:not found|nicht gefunden|no encontrada|introuvable|non trovata|não encontrada|niet gevonden|hittades inte|не найдена)",
     r"nie znaleziono strony|ページが見つかりません",
@@ -185,76 +147,196 @@ def unfilled(text: str) -> bool:
 
 
 def message(text: str) -> bool:
-    """Whether a short text is an error message or a notice; what stands in quotes doesn't count."""
-    return len(text) <= 160 and bool(_MESSAGE.search(_QUOTED.sub(" ", text)))
+    """Whether a text has the wording of an error message or a notice; what stands in quotes doesn't count."""
+    return bool(_MESSAGE.search(_QUOTED.sub(" ", text)))
 
 
-def slots(lines: list[dict], common: frozenset) -> list[dict]:
-    """The lines that are neither marked nor common to the templates, with their smoothed ratio."""
-    open_ = [not (x["mark"] or (x["key"] in common and x["tag"] not in _CELLS)) for x in lines]
-    ratio = [x["ratio"] if o else 0.0 for x, o in zip(lines, open_)]
-    reach = math.ceil(3 * SIGMA)
-    weights = [math.exp(-(d * d) / (2 * SIGMA * SIGMA)) for d in range(-reach, reach + 1)]
-    scale, n = sum(weights), len(lines)
-    smooth = [sum(w * ratio[i + d] for d, w in zip(range(-reach, reach + 1), weights) if 0 <= i + d < n) / scale for i in range(n)]
-    high = THRESHOLD * (sum(smooth) / n if n else 0.0)
-    return [x for x, o, s in zip(lines, open_, smooth) if o and s >= high]
+@lru_cache(maxsize=1 << 14)
+def _traits(text: str) -> tuple[bytes, int]:
+    """Digest of a line, and whether it is unfilled or worded as a message."""
+    return hashlib.md5(text.encode("utf-8", "surrogatepass")).digest(), (UNFILLED if unfilled(text) else 0) | (MESSAGE if message(text) else 0)
+
+
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
+def open_lines(html: str | None, url: str | None) -> tuple[list[int], bytes, bytes]:
+    """(keys, kinds, digests) of the lines that nothing in the markup marks as boilerplate."""
+    blocks, title = parse_page(html)
+    names = site_names(url, title)
+    keys, kinds, sums = [], bytearray(), bytearray()
+    for x, marked in zip(blocks, marks(blocks)):
+        if marked:
+            continue
+        tag = x.path[-1] if x.path else ""
+        digest, kind = _traits(x.text)
+        keys.append(_signed(xxhash.xxh64_intdigest(line_key(x.text, names).encode("utf-8", "surrogatepass"))))
+        kinds.append(kind | (CELL if tag in _CELLS else 0) | (HEADING if tag in HEADINGS else 0))
+        sums += digest
+    return keys, bytes(kinds), bytes(sums)
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        langs, sites, keys, kinds, sums = [], [], [], [], []
+        for url, html in zip(b.column("url"), b.column("html")):  # one page at a time is a Python object
+            url, html = url.as_py(), html.as_py()
+            lang = _LANG.search(html or "")
+            langs.append(lang[1].lower() if lang else "")
+            host = (url or "").split("//")[-1].split("/")[0].lower()
+            sites.append(_signed(xxhash.xxh64_intdigest(host)))
+            k, t, d = open_lines(html, url)
+            keys.append(k), kinds.append(t), sums.append(d)
+        cols = [b.column("origin"), b.column("row_id"), pa.array(langs, pa.string()), pa.array(sites, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(kinds, pa.binary()), pa.array(sums, pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, ["origin", "row_id", "lang", "site", "keys", "kinds", "sums"])
+
+
+def parsed_pages(pages: DataFrame) -> DataFrame:
+    """The written lines of every page, one row per (origin, row_id); ``pages`` has origin, row_id, url, html."""
+    lines = spread(pages.filter("html is not null").select("origin", "row_id", "url", "html")).mapInArrow(_parse, _PARSED)
+    best = lines.groupBy("origin", "row_id").agg(F.min(F.struct("lang", "site", "keys", "kinds", "sums")).alias("r"))
+    return written(best.select("origin", "row_id", "r.*"), "lines")
+
+
+def _flat(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(page, key, kind) of all lines of a batch."""
+    lists = b.column("keys")
+    n = np.diff(lists.offsets.to_numpy()) if len(lists) else np.zeros(0, np.int64)
+    kinds = np.frombuffer(b"".join(b.column("kinds").to_pylist()), np.uint8)
+    return np.repeat(np.arange(b.num_rows), n), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), kinds
+
+
+def _counted(group: np.ndarray, page: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(group, key, pages): how many pages of each group have each key."""
+    at = np.lexsort((page, key, group))
+    group, key, page = group[at], key[at], page[at]
+    new = np.ones(len(at), bool)
+    new[1:] = (group[1:] != group[:-1]) | (key[1:] != key[:-1])
+    each = new.copy()
+    each[1:] |= page[1:] != page[:-1]
+    first = np.flatnonzero(new)
+    return group[first], key[first], np.add.reduceat(each.astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+
+
+def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        page, key, kind = _flat(b)
+        names, codes = np.unique(np.array(b.column("lang").to_pylist(), dtype=object), return_inverse=True) if b.num_rows else (np.zeros(0, object), np.zeros(0, np.int64))
+        use = (kind & CELL) == 0
+        g, k, n = _counted(codes[page][use], page[use], key[use])
+        yield pa.RecordBatch.from_arrays([pa.array(names[g].tolist(), pa.string()), pa.array(k), pa.array(n)], ["lang", "key", "n"])
+
+
+def common_lines(parsed: DataFrame) -> dict[str, np.ndarray]:
+    """The keys of the template lines of each language; pages that name none are a group of their own.
+
+    A page has few lines, and a line needs ``COMMON`` of a language's pages, so there are at most
+    (lines of a page / COMMON) for each of at most 26² + 1 two-letter codes, however many pages.
+    """
+    pages = parsed.groupBy("lang").agg(F.count(F.lit(1)).alias("pages"))
+    df = parsed.select("lang", "keys", "kinds").mapInArrow(_by_language, "lang string, key bigint, n bigint").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    df = df.filter(f"n >= {COMMON_PAGES}").join(F.broadcast(pages), "lang").filter(F.col("n") >= COMMON * F.col("pages"))
+    out: dict[str, list] = {}
+    for lang, key in df.select("lang", "key").collect():
+        out.setdefault(lang, []).append(key)
+    return {k: np.array(v, np.int64) for k, v in out.items()}
 
 
-def body_keys(found: list[dict]) -> list[str]:
-    """Keys of the slots that could be content; headings only where nothing else stands."""
-    body = [x for x in found if x["tag"] not in HEADINGS]
-    return sorted({x["key"] for x in body or found if not unfilled(x["text"]) and not message(x["text"])})
+def _not_common(b: pa.RecordBatch, page: np.ndarray, key: np.ndarray, kind: np.ndarray, common: dict[str, np.ndarray]) -> np.ndarray:
+    """Which lines of a batch are no template lines of their language."""
+    keep = np.ones(len(key), bool)
+    langs = np.array(b.column("lang").to_pylist(), dtype=object)
+    for lang in set(langs.tolist()) & common.keys():
+        keep &= ~((langs == lang)[page] & ((kind & CELL) == 0) & np.isin(key, common[lang]))
+    return keep
 
 
-def is_residue(found: list[dict], errors: frozenset) -> bool:
-    """Whether all slots of a page are unfilled, filler or messages; headings alone are no content."""
-    return not any(x["tag"] not in HEADINGS and not unfilled(x["text"]) and x["key"] not in errors and not message(x["text"]) for x in found)
+def site_lines(parsed: DataFrame, common: dict[str, np.ndarray]) -> DataFrame:
+    """``(site, fixed)``: the keys on ``SITE_COMMON`` of a site's pages, sites of ``SITE_PAGES`` pages or more.
+
+    Counts combine within batches before their shuffle, so a site with a third of all pages is a
+    row per batch and line. A site has at most (lines of a page / ``SITE_COMMON``) such keys.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            page, key, kind = _flat(b)
+            use = ((kind & CELL) == 0) & _not_common(b, page, key, kind, common)
+            g, k, n = _counted(b.column("site").to_numpy()[page][use], page[use], key[use])
+            yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(k, pa.int64()), pa.array(n, pa.int64())], ["site", "key", "n"])
+
+    sizes = parsed.groupBy("site").agg(F.count(F.lit(1)).alias("pages")).filter(f"pages >= {SITE_PAGES}")
+    counts = parsed.select("lang", "site", "keys", "kinds").mapInArrow(run, "site bigint, key bigint, n bigint").groupBy("site", "key").agg(F.sum("n").alias("n")).filter(f"n >= {SITE_PAGES}")
+    return counts.join(sizes, "site").filter(F.col("n") >= SITE_COMMON * F.col("pages")).groupBy("site").agg(F.collect_list("key").alias("fixed"))
 
 
-def _keys_of(common: dict[str, frozenset]):
+def template_slots(pages: DataFrame) -> DataFrame:
+    """``(origin, row_id, keys, kinds, sums)``: the written lines of every page between its fixed parts."""
+    parsed = parsed_pages(pages)
+    common = common_lines(parsed)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = [body_keys(slots(lines, common.get(lang, frozenset()))) for lang, lines in zip(b.column("lang").to_pylist(), b.column("lines").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("row_id"), pa.array(keys, pa.list_(pa.string()))], ["row_id", "keys"])
+            page, key, kind = _flat(b)
+            keep = _not_common(b, page, key, kind, common)
+            fixed = b.column("fixed")
+            for i in np.flatnonzero(~np.asarray(fixed.is_null())):
+                keep &= ~((page == i) & ((kind & CELL) == 0) & np.isin(key, fixed[i].values.to_numpy()))
+            n = np.bincount(page[keep], minlength=b.num_rows)
+            offsets = np.r_[0, np.cumsum(n)]
+            sums = np.frombuffer(b"".join(b.column("sums").to_pylist()), np.uint8).reshape(-1, 16)[keep].tobytes()
+            kinds = kind[keep].tobytes()
+            spans = list(zip(offsets[:-1].tolist(), offsets[1:].tolist()))
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(key[keep], pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("origin"), b.column("row_id"), lists, pa.array([kinds[x:y] for x, y in spans], pa.binary()), pa.array([sums[16 * x : 16 * y] for x, y in spans], pa.binary())], ["origin", "row_id", "keys", "kinds", "sums"])
 
-    return run
+    return written(parsed.join(site_lines(parsed, common), "site", "left").mapInArrow(run, _SLOTS), "slots")
 
 
-def error_templates(parsed: DataFrame, common: dict[str, frozenset]) -> frozenset:
-    """Keys of slot texts on ``FREQUENT`` of all pages that stand alone on ``ALONE`` of theirs.
+def _body(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(page, key) of the filled slots of each page; headings only where nothing else stands."""
+    page, key, kind = _flat(b)
+    other = np.bincount(page[(kind & HEADING) == 0], minlength=b.num_rows) > 0
+    use = ((kind & UNFILLED) == 0) & (((kind & HEADING) == 0) | ~other[page])
+    return page[use], key[use]
+
+
+def error_templates(slots: DataFrame) -> np.ndarray:
+    """Keys of slot texts on ``FREQUENT`` of all pages that stand among such texts only on ``ALONE`` of theirs.
 
     Keys are bounded by (lines of a page / FREQUENT), however many pages there are.
     """
-    keys = written(parsed.filter("origin = 'pages'").mapInArrow(_keys_of(common), "row_id bigint, keys array<string>"), "slots")
-    pages = keys.count()
-    counts = keys.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    frequent = frozenset(r["key"] for r in counts.filter(F.col("n") >= max(FREQUENT_PAGES, FREQUENT * pages)).collect())
+    pages = slots.filter("origin = 'pages'").select("keys", "kinds")
 
-    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(k, int(frequent.issuperset(ks))) for ks in b.column("keys").to_pylist() for k in ks if k in frequent]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32())], ["key", "alone"])
+            page, key = _body(b)
+            _, k, n = _counted(np.zeros(len(key), np.int64), page, key)
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(n, pa.int64())], ["key", "n"])
 
-    shares = keys.mapInArrow(alone, "key string, alone int").groupBy("key").agg(F.avg("alone").alias("share"))
-    return frozenset(r["key"] for r in shares.filter(F.col("share") >= ALONE).collect())
+    least = max(FREQUENT_PAGES, FREQUENT * pages.count())
+    rows = pages.mapInArrow(count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).collect()
+    frequent = np.array([r["key"] for r in rows], np.int64)
 
-
-def _output(common: dict[str, frozenset], errors: frozenset, residue: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            origins, ids, sums = [], [], []
-            for origin, row, lang, lines in zip(*(b.column(c).to_pylist() for c in ("origin", "row_id", "lang", "lines"))):
-                found = slots(lines, common.get(lang, frozenset()))
-                if origin == "pages" and is_residue(found, errors):
-                    if residue:
-                        origins.append(origin), ids.append(row), sums.append("")
-                elif not residue:
-                    for s in sorted({hashlib.md5(x["text"].encode("utf-8", "surrogatepass")).hexdigest() for x in found}):
-                        origins.append(origin), ids.append(row), sums.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array(origins, pa.string()), pa.array(ids, pa.int64()), pa.array(sums, pa.string())], ["origin", "row_id", "block_md5"])
+            page, key = _body(b)
+            known = np.isin(key, frequent)
+            strange = np.bincount(page[~known], minlength=b.num_rows) > 0
+            use = known & ~strange[page]
+            _, k, n = _counted(np.zeros(int(use.sum()), np.int64), page[use], key[use])
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(n, pa.int64())], ["key", "n"])
 
-    return run
+    among = {r["key"]: r["n"] for r in pages.mapInArrow(alone, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).collect()}
+    return np.array([r["key"] for r in rows if among.get(r["key"], 0) >= ALONE * r["n"]], np.int64)
+
+
+def _residue(b: pa.RecordBatch, errors: np.ndarray) -> np.ndarray:
+    """Whether all slots of each page are unfilled, filler or messages; headings alone are no content."""
+    page, key, kind = _flat(b)
+    content = ((kind & (HEADING | UNFILLED | MESSAGE)) == 0) & ~np.isin(key, errors)
+    return (np.bincount(page[content], minlength=b.num_rows) == 0) & np.array([o == "pages" for o in b.column("origin").to_pylist()], bool)
 
 
 def _sources(spark, sf_dir: str) -> DataFrame:
@@ -264,21 +346,94 @@ def _sources(spark, sf_dir: str) -> DataFrame:
     return pages.unionByName(table(spark, sf_dir, "responses").filter(html).select(F.lit("responses").alias("origin"), F.col("response_id").alias("row_id"), "url", F.col("body").alias("html")))
 
 
+_BLOCKS = "origin string, row_id bigint, block_md5 string"
+
+
+def _rows(origins: list, ids: list, sums: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(origins, pa.string()), pa.array(ids, pa.int64()), pa.array(sums, pa.string())], ["origin", "row_id", "block_md5"])
+
+
 def main_bodies(pages: DataFrame) -> DataFrame:
     """``(origin, row_id, block_md5)``: the distinct blocks of the main body of every page.
 
     ``pages`` has origin, row_id, url and html. Null or empty pages and residue have no rows.
     """
-    parsed = parsed_pages(pages)
-    common = common_lines(parsed)
-    return parsed.mapInArrow(_output(common, error_templates(parsed, common), False), "origin string, row_id bigint, block_md5 string")
+    slots = template_slots(pages)
+    errors = error_templates(slots)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            origins, ids, out = [], [], []
+            for drop, origin, row, sums in zip(_residue(b, errors).tolist(), *(b.column(c).to_pylist() for c in ("origin", "row_id", "sums"))):
+                if not drop:
+                    found = {sums[i : i + 16].hex() for i in range(0, len(sums), 16)}
+                    origins += [origin] * len(found)
+                    ids += [row] * len(found)
+                    out += found
+            yield _rows(origins, ids, out)
+
+    return slots.mapInArrow(run, _BLOCKS)
 
 
 def residue_pages(pages: DataFrame) -> DataFrame:
     """``page_id`` of the rows with origin ``pages`` that hold residue instead of content."""
-    parsed = parsed_pages(pages)
-    common = common_lines(parsed)
-    return parsed.mapInArrow(_output(common, error_templates(parsed, common), True), "origin string, row_id bigint, block_md5 string").select(F.col("row_id").alias("page_id"))
+    slots = template_slots(pages)
+    errors = error_templates(slots)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("row_id").filter(pa.array(_residue(b, errors)))], ["page_id"])
+
+    return slots.mapInArrow(run, "page_id bigint")
+
+
+def smoothed(ratios: np.ndarray) -> np.ndarray:
+    """Ratios smoothed with a Gaussian of ``SIGMA`` lines; the ends count as zero beyond the page."""
+    reach = math.ceil(3 * SIGMA)
+    w = np.exp(-(np.arange(-reach, reach + 1) ** 2) / (2 * SIGMA * SIGMA))
+    return np.convolve(ratios, w / w.sum())[reach : reach + len(ratios)]
+
+
+def two_means(values: np.ndarray) -> float:
+    """The threshold between the two clusters of a page's smoothed ratios; its only value where all are equal."""
+    low, high = float(values.min()), float(values.max())
+    for _ in range(50):
+        mid = (low + high) / 2
+        a, b = values[values < mid], values[values >= mid]
+        if not len(a) or (float(a.mean()), float(b.mean())) == (low, high):
+            break
+        low, high = float(a.mean()), float(b.mean())
+    return (low + high) / 2
+
+
+def ratio_bodies(pages: DataFrame) -> DataFrame:
+    """``(origin, row_id, block_md5)``: the blocks that text-to-tag ratios alone take for the main body.
+
+    A line's ratio is its characters outside links over the tags since the line before; ratios are
+    smoothed and clustered in two for each page. One pass, nothing but its result is shuffled.
+    Null and empty pages have no rows; a page of equal ratios is one cluster of content.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            origins, ids, out = [], [], []
+            for origin, row, html in zip(*(b.column(c) for c in ("origin", "row_id", "html"))):
+                blocks = parse_page(html.as_py())[0]
+                if not blocks:
+                    continue
+                s = smoothed(np.array([(len(x.text) - x.linked) / max(1, x.tags) for x in blocks]))
+                at = two_means(s)
+                found = {hashlib.md5(x.text.encode("utf-8", "surrogatepass")).hexdigest() for x, v in zip(blocks, s) if v >= at}
+                origins += [origin.as_py()] * len(found)
+                ids += [row.as_py()] * len(found)
+                out += found
+            yield _rows(origins, ids, out)
+
+    return spread(pages.filter("html is not null").select("origin", "row_id", "html")).mapInArrow(run, _BLOCKS).distinct()
+
+
+def p5_method(spark, sf_dir: str) -> DataFrame:
+    return ratio_bodies(_sources(spark, sf_dir))
 
 
 def p5_found(spark, sf_dir: str) -> DataFrame:

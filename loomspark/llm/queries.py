@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_segments": language.p2_segments,
     "p3_found": membership.p3_found,
     "p3_filter_errors": membership.p3_filter_errors,
+    "p5_method": pages.p5_method,
     "p5_found": pages.p5_found,
     "p6_found": encoding.p6_found,
     "p6_pairs": encoding.p6_pairs,

@@ -68,6 +68,36 @@ def test_residue(spark):
     assert sorted(r[0] for r in G.residue_pages(df.filter("origin = 'pages'")).collect()) == [100, 101]
 
 
+def test_error_templates_are_learned(spark):
+    """A text on many pages that never stands beside others is an error template, whatever its wording."""
+    rows = [("pages", i, f"https://s{i}.example/", f"<html lang=en><body><p>Zorp glitch {i} gone, call Bob</p>{'<p>Retry soon please</p>' if i % 2 else ''}</body></html>") for i in range(6)]
+    rows += [("pages", 100 + i, f"https://t{i}.example/", f"<html lang=en><body><p>Thing {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]} has a sentence</p><p>Retry soon please</p></body></html>") for i in range(3)]
+    rows += [("pages", 200 + i, f"https://u{i}.example/", f"<html lang=en><body><p>Words {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100]} of a page</p></body></html>") for i in range(200)]
+    got = {r[0] for r in G.residue_pages(spark.createDataFrame(rows, "origin string, row_id bigint, url string, html string")).collect()}
+    assert {0, 2, 4} <= got and not {100, 101, 102, 200} & got
+
+
+def test_lines_of_one_site(spark):
+    """A line on half of a site's pages is a template line, though few pages of the language have it."""
+    rows = [("pages", i, "https://one.example/p", f"<html lang=en><body><p>We ship to you</p><p>Own words {'abcdefghij'[i]}{'klmnopqrst'[i]} here</p></body></html>") for i in range(6)]
+    rows += [("pages", 100 + i, f"https://t{i}.example/", f"<html lang=en><body><p>Page {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100]} of a site</p></body></html>") for i in range(300)]
+    df = spark.createDataFrame(rows, "origin string, row_id bigint, url string, html string")
+    got = {(r[1], r[2]) for r in G.main_bodies(df).collect()}
+    line = hashlib.md5(b"We ship to you").hexdigest()
+    assert len(got) == 306 and not any(m == line for _, m in got)
+
+
+def test_ratios(spark):
+    """Long lines beside short ones of many tags are the cluster of content; equal ratios are one cluster."""
+    menu = "".join(f"<li><a href=/{i}>Item {i}</a></li>" for i in range(8))
+    html = f"<body><ul>{menu}</ul><p>{'A long sentence of the page. ' * 8}</p><p>{'Another long one stands here. ' * 8}</p><ul>{menu}</ul></body>"
+    df = spark.createDataFrame([("pages", 1, "u", html), ("pages", 1, "u", html), ("pages", 2, "u", None), ("pages", 3, "u", ""), ("pages", 4, "u", "<p>one</p>")], "origin string, row_id bigint, url string, html string")
+    got = {(r[1], r[2]) for r in G.ratio_bodies(df).collect()}
+    md5 = lambda t: hashlib.md5(t.strip().encode()).hexdigest()
+    assert {(1, md5("A long sentence of the page. " * 8)), (1, md5("Another long one stands here. " * 8)), (4, md5("one"))} == got
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "origin string, row_id bigint, url string, html string")
+    assert G.ratio_bodies(df).count() == 0
     assert G.main_bodies(df).count() == 0 and G.residue_pages(df).count() == 0
