@@ -23,6 +23,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -112,57 +113,73 @@ _LOREM = frozenset(
 _DUMMY = frozenset("text sample dummy test blah foo bar baz placeholder copy content texto ejemplo prueba muestra beispiel beispieltext mustertext texte exemple testo esempio prova tekst voorbeeld przykład exempel пример текст テキスト サンプル ダミー".split())
 #: Wordings of error, refusal, script and default-text messages, for messages too rare to be learned.
 _NEEDS = r"\b(?:enabl|activ|aktiv|ativ|attiv|requir|richied|kräv|wymag|требу|need|benötig|besoin|necesit|włącz|включит|abilit|habilit|schakel|inschakel|turn|switch|disabled|blocked)\w*\b"
+#: Each wording with literals of which a text must hold one, in small letters, before the wording is looked for.
 _MESSAGES = [
-    _NEEDS + r".{0,40}javascript|javascript.{0,60}" + _NEEDS,
-    r"scripts? (?:are|is) (?:blocked|disabled|off)",
-    r"(?:page|seite|página|pagina|sidan?|strony|страница)\b.{0,30}(?:not found|nicht gefunden|no encontrada|introuvable|non trovata|não encontrada|niet gevonden|hittades inte|не найдена)",
-    r"nie znaleziono strony|ページが見つかりません",
-    r"\b(?:error|fehler|erreur|errore|erro|fel|fout|błąd|ошибка) [45]\d\d\b",
-    r"\b(?:bad gateway|gateway time-?out|internal server error|interner serverfehler|too many requests|database connection|fatal error|page not found)\b",
-    r"access denied|zugriff verweigert|accès refusé|acceso denegado|accesso negato|acesso negado|toegang geweigerd|åtkomst nekad|odmowa dostępu|brak dostępu|доступ (?:запрещ|закрыт)",
-    r"(?:temporarily|vorübergehend|momentanément|temporalmente|temporaneamente|temporariamente|tijdelijk|tillfälligt|chwilowo|tymczasowo|временно) (?:\w+ )?(?:un|in|no |nicht |non |niet |not |o|n)\w*",
-    r"planned maintenance|wartungsarbeiten|cours de maintenance|(?:en|por) mantenimiento|in manutenzione|em manutenção",
-    r"(?:no longer|ya no|n'est plus|non è più|não está mais|niet meer|finns inte|już nie|nicht mehr) (?:exist\w*|available|existe|disponible|disponibile|disponível|beschikbaar|längre|istnieje|verfügbar)",
-    r"n'existe plus|gibt es leider nicht mehr|больше (?:нет|не существует)|moved or no longer exists",
-    r"session has expired|something went wrong|unusual traffic|request was blocked",
-    r"checking your browser|verify(?:ing)? (?:that )?you|are you (?:a )?(?:human|robot)|captcha|^just a moment|^please wait|^loading\b",
-    r"\bplaceholder (?:for|text)|your text goes here|sample copy|replace (?:it|this) with your|steht später ihr text|texte à compléter|va el texto|texto de ejemplo",
+    ("script", _NEEDS + r".{0,40}javascript|javascript.{0,60}" + _NEEDS),
+    ("script", r"scripts? (?:are|is) (?:blocked|disabled|off)"),
+    ("not found|nicht gefunden|no encontrada|introuvable|non trovata|não encontrada|niet gevonden|hittades inte|не найдена", r"(?:page|seite|página|pagina|sidan?|strony|страница)\b.{0,30}(?:not found|nicht gefunden|no encontrada|introuvable|non trovata|não encontrada|niet gevonden|hittades inte|не найдена)"),
+    ("nie znaleziono|ページが見つかりません", r"nie znaleziono strony|ページが見つかりません"),
+    ("error |fehler |erreur |errore |erro |fel |fout |błąd |ошибка ", r"\b(?:error|fehler|erreur|errore|erro|fel|fout|błąd|ошибка) [45]\d\d\b"),
+    ("gateway|server|requests|database|fatal|page not", r"\b(?:bad gateway|gateway time-?out|internal server error|interner serverfehler|too many requests|database connection|fatal error|page not found)\b"),
+    ("denied|verweigert|refusé|denegado|negato|negado|geweigerd|nekad|odmowa|brak|доступ", r"access denied|zugriff verweigert|accès refusé|acceso denegado|accesso negato|acesso negado|toegang geweigerd|åtkomst nekad|odmowa dostępu|brak dostępu|доступ (?:запрещ|закрыт)"),
+    ("temporarily|vorübergehend|momentanément|temporalmente|temporaneamente|temporariamente|tijdelijk|tillfälligt|chwilowo|tymczasowo|временно", r"(?:temporarily|vorübergehend|momentanément|temporalmente|temporaneamente|temporariamente|tijdelijk|tillfälligt|chwilowo|tymczasowo|временно) (?:\w+ )?(?:un|in|no |nicht |non |niet |not |o|n)\w*"),
+    ("maintenance|wartungsarbeiten|mantenimiento|manutenzione|manutenção", r"planned maintenance|wartungsarbeiten|cours de maintenance|(?:en|por) mantenimiento|in manutenzione|em manutenção"),
+    ("no longer|ya no|n'est plus|non è più|não está mais|niet meer|finns inte|już nie|nicht mehr", r"(?:no longer|ya no|n'est plus|non è più|não está mais|niet meer|finns inte|już nie|nicht mehr) (?:exist\w*|available|existe|disponible|disponibile|disponível|beschikbaar|längre|istnieje|verfügbar)"),
+    ("n'existe plus|nicht mehr|больше не|больше нет|no longer", r"n'existe plus|gibt es leider nicht mehr|больше (?:нет|не существует)|moved or no longer exists"),
+    ("session|went wrong|unusual|blocked", r"session has expired|something went wrong|unusual traffic|request was blocked"),
+    ("checking|verify|are you|captcha|just a|please wait|loading", r"checking your browser|verify(?:ing)? (?:that )?you|are you (?:a )?(?:human|robot)|captcha|^just a moment|^please wait|^loading\b"),
+    ("placeholder|your text|sample copy|replace|später|compléter|va el texto|texto de", r"\bplaceholder (?:for|text)|your text goes here|sample copy|replace (?:it|this) with your|steht später ihr text|texte à compléter|va el texto|texto de ejemplo"),
 ]
-_MESSAGE = re.compile("|".join(_MESSAGES), re.I)
+_MESSAGE = re.compile("|".join(pattern for _, pattern in _MESSAGES), re.I)
+_TRIGGERS = ahocorasick.Automaton()
+for _literals, _ in _MESSAGES:
+    for _word in _literals.split("|"):
+        _TRIGGERS.add_word(_word, _word)
+_TRIGGERS.make_automaton()
 _QUOTED = re.compile(r"[“„«\"][^”“»\"]*[”“»\"]")
 
 
+#: Every variable has one of these marks or, in small letters, one of these words.
+_MARKED = re.compile(r"[{}$<%_\[#@]")
+_NAMED = ("undefined", "nan", "null", "none", "todo", "tbd", "xxxx")
+
+
 def unfilled(text: str) -> bool:
     """Whether a slot keeps variable names (with a few words at most) or filler."""
-    rest, found = _VARIABLE.subn(" ", text)
-    words = _WORD.findall(rest)
-    if found and len(words) <= 4:
-        return True
-    words = [w.lower() for w in _WORD.findall(text)]
+    low = text.lower()
+    if _MARKED.search(text) or any(w in low for w in _NAMED):
+        rest, found = _VARIABLE.subn(" ", text)
+        if found and len(_WORD.findall(rest)) <= 4:
+            return True
+    words = _WORD.findall(low)
     if not words:
         return not re.search(r"\w", text)
-    if len(words) >= 2 and sum(w in _LOREM for w in words) >= 0.8 * len(words):
+    known = set(words)
+    if len(words) >= 2 and not known.isdisjoint(_LOREM) and sum(w in _LOREM for w in words) >= 0.8 * len(words):
         return True
-    return sum(w in _DUMMY for w in words) >= 0.8 * len(words) and (len(words) >= 3 or "lorem" in words)
+    return not known.isdisjoint(_DUMMY) and sum(w in _DUMMY for w in words) >= 0.8 * len(words) and (len(words) >= 3 or "lorem" in words)
 
 
 def message(text: str) -> bool:
     """Whether a text has the wording of an error message or a notice; what stands in quotes doesn't count."""
-    return bool(_MESSAGE.search(_QUOTED.sub(" ", text)))
+    return next(_TRIGGERS.iter(text.lower()), None) is not None and bool(_MESSAGE.search(_QUOTED.sub(" ", text)))
 
 
 @lru_cache(maxsize=1 << 14)
-def _traits(text: str) -> tuple[bytes, int]:
+def _traits(text: str, fillings: bool) -> tuple[bytes, int]:
     """Digest of a line, and whether it is unfilled or worded as a message."""
-    return hashlib.md5(text.encode("utf-8", "surrogatepass")).digest(), (UNFILLED if unfilled(text) else 0) | (MESSAGE if message(text) else 0)
+    return hashlib.md5(text.encode("utf-8", "surrogatepass")).digest(), 0 if not fillings else (UNFILLED if unfilled(text) else 0) | (MESSAGE if message(text) else 0)
 
 
 def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def open_lines(html: str | None, url: str | None) -> tuple[list[int], bytes, bytes]:
-    """(keys, kinds, digests) of the lines that nothing in the markup marks as boilerplate."""
+def open_lines(html: str | None, url: str | None, fillings: bool = True) -> tuple[list[int], bytes, bytes]:
+    """(keys, kinds, digests) of the lines that nothing in the markup marks as boilerplate.
+
+    Without ``fillings`` lines aren't tested for variables, filler and messages.
+    """
     blocks, title = parse_page(html)
     names = site_names(url, title)
     keys, kinds, sums = [], bytearray(), bytearray()
@@ -170,7 +187,7 @@ def open_lines(html: str | None, url: str | None) -> tuple[list[int], bytes, byt
         if marked:
             continue
         tag = x.path[-1] if x.path else ""
-        digest, kind = _traits(x.text)
+        digest, kind = _traits(x.text, fillings)
         keys.append(_signed(xxhash.xxh64_intdigest(line_key(x.text, names).encode("utf-8", "surrogatepass"))))
         kinds.append(kind | (CELL if tag in _CELLS else 0) | (HEADING if tag in HEADINGS else 0))
         sums += digest
@@ -180,13 +197,13 @@ def open_lines(html: str | None, url: str | None) -> tuple[list[int], bytes, byt
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         langs, sites, keys, kinds, sums = [], [], [], [], []
-        for url, html in zip(b.column("url"), b.column("html")):  # one page at a time is a Python object
-            url, html = url.as_py(), html.as_py()
+        for origin, url, html in zip(b.column("origin").to_pylist(), b.column("url").to_pylist(), b.column("html")):
+            html = html.as_py()  # one page at a time is a Python object
             lang = _LANG.search(html or "")
             langs.append(lang[1].lower() if lang else "")
             host = (url or "").split("//")[-1].split("/")[0].lower()
             sites.append(_signed(xxhash.xxh64_intdigest(host)))
-            k, t, d = open_lines(html, url)
+            k, t, d = open_lines(html, url, origin == "pages")  # only pages can be residue
             keys.append(k), kinds.append(t), sums.append(d)
         cols = [b.column("origin"), b.column("row_id"), pa.array(langs, pa.string()), pa.array(sites, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(kinds, pa.binary()), pa.array(sums, pa.binary())]
         yield pa.RecordBatch.from_arrays(cols, ["origin", "row_id", "lang", "site", "keys", "kinds", "sums"])
