@@ -5,8 +5,9 @@ The patterns are all windows of ``WINDOW`` words of the items. The search moves
 with a table of shifts for blocks of ``BLOCK`` words: a block that no pattern has skips as far as
 the window allows; a block that ends patterns selects those by its bucket, and direct comparison
 confirms. With at most one word in eight changed, half an item holds five unchanged words in
-a row somewhere, so no case is skipped. The hits of an item in a document are then aligned word
-by word, which decides.
+a row somewhere, so no case is skipped. Where the words that the item and the passage around its
+hits have in common, in their order (a bit-parallel count), are enough for a case, both are aligned
+word by word, which decides. Items of fewer than ``WINDOW`` words are cases where they stand whole.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from loomspark.catalog import once, spread, table
 WINDOW, BLOCK = 4, 2
 #: A passage holds this share of the item's words in their order, of which one in eight may be changed.
 SHARE, CHANGED = 0.5, 1 / 8
+#: Items that go to the tasks at once; more of them are searched in several passes.
+ITEMS = 200_000
 
 _INLINE_TAG = re.compile(r"</?(?:a|abbr|b|code|em|i|mark|small|span|strong|sub|sup|u)\b[^<>]*>", re.I)
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>")
@@ -58,7 +61,11 @@ class WuManber:
         self.far = WINDOW - BLOCK + 1
         self.shift: dict[tuple[int, int], int] = {}
         self.bucket: dict[tuple[int, int], dict[tuple[int, ...], list[tuple[int, int]]]] = {}
+        self.short: dict[tuple[int, ...], list[int]] = {}
+        self._masks: dict[int, dict[int, int]] = {}
         for item, ws in self.items.items():
+            if 0 < len(ws) < WINDOW:
+                self.short.setdefault(tuple(ws), []).append(item)
             for at in range(len(ws) - WINDOW + 1):
                 p = tuple(ws[at : at + WINDOW])
                 for j in range(WINDOW - BLOCK + 1):
@@ -70,6 +77,23 @@ class WuManber:
         get = self.ids.get
         return [get(w, 0) for w in words]
 
+    def whole(self, text: list[int]) -> set[int]:
+        """The items of fewer than ``WINDOW`` words that stand in a text as they are."""
+        out: set[int] = set()
+        for n in {len(ws) for ws in self.short}:
+            for at in range(len(text) - n + 1):
+                out.update(self.short.get(tuple(text[at : at + n]), ()))
+        return out
+
+    def masks(self, item: int) -> dict[int, int]:
+        """For each word of an item the bits of its places."""
+        found = self._masks.get(item)
+        if found is None:
+            found = self._masks[item] = {}
+            for i, w in enumerate(self.items[item]):
+                found[w] = found.get(w, 0) | 1 << i
+        return found
+
     def hits(self, text: list[int]) -> dict[int, list[tuple[int, int]]]:
         """For each item the (position in the text, position in the item) of its windows."""
         out: dict[int, list[tuple[int, int]]] = {}
@@ -116,12 +140,25 @@ def align(item: list[int], text: list[int]) -> tuple[int, int, int]:
     return best[1:]
 
 
+def in_order(masks: dict[int, int], n: int, text: list[int]) -> int:
+    """The most words of an item of ``n`` words that a text has in their order (longest common subsequence)."""
+    full = (1 << n) - 1
+    v, get = full, masks.get
+    for t in text:
+        if m := get(t):
+            u = v & m
+            v = ((v + u) | (v - u)) & full
+    return n - v.bit_count()
+
+
 def leaked(search: WuManber, text: list[int]) -> list[tuple[int, int, int, int]]:
     """(item, words spanned, words equal, words of the item) of the items that the text holds."""
-    out = []
+    out = [(item, n, n, n) for item in sorted(search.whole(text)) if (n := len(search.items[item]))] if search.short else []
     for item, hits in search.hits(text).items():
         ws = search.items[item]
         n = len(ws)
+        # a case spans SHARE of the item, all but CHANGED of it (and one word) unchanged
+        least = SHARE * n * (1 - CHANGED) - 1
         if len({at + k for _, at in hits for k in range(WINDOW)}) < 0.15 * n:
             continue
         # passages: hits whose start of the item would lie close together
@@ -138,6 +175,8 @@ def leaked(search: WuManber, text: list[int]) -> list[tuple[int, int, int, int]]
                 continue
             low = max(0, min(pos - at for pos, at in g) - n // 6 - 2)
             high = max(pos + n - at for pos, at in g) + n // 6 + 2
+            if in_order(search.masks(item), n, text[low:high]) < least:
+                continue
             best = max(best, align(ws, text[low:high]), key=lambda b: b[1])
         span, equal, inserted = best
         if span >= SHARE * n and span - equal <= CHANGED * span + 1:
@@ -148,15 +187,23 @@ def leaked(search: WuManber, text: list[int]) -> list[tuple[int, int, int, int]]
 def find_leaks(items: DataFrame, documents: DataFrame) -> DataFrame:
     """``(item_id, doc_id)`` of every document that holds an item.
 
-    ``items`` is a benchmark of fixed size; it goes to every task (its size is checked).
-    Documents are read once, in parallel, and never shuffled. Null and empty texts hold nothing,
-    items of fewer than ``WINDOW`` words are never found.
+    At most ``ITEMS`` items go to the tasks at once, and documents are read once for each such part,
+    in parallel, never shuffled. Null and empty texts hold nothing and null and empty items are never found.
     """
-    rows = once(items.select("item_id", "text"), "item_id").limit(1_000_001).collect()
-    if len(rows) > 1_000_000:
-        raise ValueError("more than a million items: search them in parts")
-    words = {r["item_id"]: words_of(r["text"]) for r in rows}
-    shared = items.sparkSession.sparkContext.broadcast({k: v for k, v in words.items() if v})
+    items = once(items.select("item_id", "text"), "item_id")
+    parts = max(1, -(-items.count() // ITEMS))
+    docs = spread(documents.filter("text is not null").select("doc_id", "text"))
+    found = None
+    for part in range(parts):
+        # hashed parts differ little in size
+        rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).collect()
+        one = docs.mapInArrow(_search({r["item_id"]: w for r in rows if (w := words_of(r["text"]))}, items.sparkSession), "item_id bigint, doc_id bigint")
+        found = one if found is None else found.unionByName(one)
+    return found.distinct()
+
+
+def _search(words: dict[int, list[str]], spark):
+    shared = spark.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = WuManber(shared.value)
@@ -164,7 +211,7 @@ def find_leaks(items: DataFrame, documents: DataFrame) -> DataFrame:
             got = [(i, doc) for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()) for i, *_ in leaked(search, search.encode(words_of(text)))]
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64())], ["item_id", "doc_id"])
 
-    return spread(documents.filter("text is not null").select("doc_id", "text")).mapInArrow(run, "item_id bigint, doc_id bigint").distinct()
+    return run
 
 
 def p9_found(spark, sf_dir: str) -> DataFrame:

@@ -49,6 +49,28 @@ def test_found(spark):
     assert got == [(1, 100), (1, 101), (1, 102), (1, 108)]
 
 
+def test_short_items_and_parts(spark, monkeypatch):
+    """Items of fewer than WINDOW words are found whole; more than ITEMS items take several passes."""
+    monkeypatch.setattr(G, "ITEMS", 2)
+    items = spark.createDataFrame([(1, ITEM), (2, "short one"), (3, None), (4, ""), (5, "never seen words")], "item_id bigint, text string")
+    docs = spark.createDataFrame([(101, "a Short, one!"), (102, "one short"), (103, "so " + ITEM), (104, None)], "doc_id bigint, text string")
+    assert sorted((r[0], r[1]) for r in G.find_leaks(items, docs).collect()) == [(1, 103), (2, 101)]
+
+
+def test_in_order_is_the_longest_common_subsequence():
+    rng = random.Random(4)
+    for _ in range(50):
+        a, b = [rng.randrange(1, 6) for _ in range(rng.randrange(1, 30))], [rng.randrange(0, 6) for _ in range(rng.randrange(0, 40))]
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+        masks = {}
+        for i, x in enumerate(a):
+            masks[x] = masks.get(x, 0) | 1 << i
+        assert G.in_order(masks, len(a), b) == t[-1][-1]
+
+
 def test_empty(spark):
     items = spark.createDataFrame([], "item_id bigint, text string")
     assert G.find_leaks(items, spark.createDataFrame([(1, "a b c d")], "doc_id bigint, text string")).count() == 0
