@@ -64,6 +64,10 @@ def code_of(spelling: Column) -> Column:
     return F.when(s.isin(*UNKNOWN) | (F.length(s) == 0), None).otherwise(F.coalesce(F.try_element_at(names, s), F.try_element_at(names, head), F.when(head.rlike("^[a-z]{2}$"), head), s))
 
 
+def _without_addresses(text: str) -> str:
+    return _ADDRESS.sub(" ", text) if "@" in text or "://" in text or "www." in text else text
+
+
 def sentences(text: str) -> list[tuple[int, int, bool]]:
     """(start, end, whole) of the stretches of a text; whole ones are sentences with their end."""
     out, at = [], 0
@@ -71,19 +75,19 @@ def sentences(text: str) -> list[tuple[int, int, bool]]:
         end = m.start() if m else len(text)
         s = text[at:end]
         if s.strip():
-            body = _ADDRESS.sub(" ", s)
-            words = [w for w in _LETTERS.findall(body) if len(w) > 1 or w.islower()]
-            cjk = len(_CJK.findall(body))
-            letters = sum(map(len, words))
-            long_enough = cjk >= 8 or (len(words) >= LEAST_WORDS and letters >= LEAST_LETTERS)
-            out.append((at, end, bool(long_enough and _ENDED.search(s))))
+            whole = False
+            if _ENDED.search(s):
+                body = _without_addresses(s)
+                words = [w for w in _LETTERS.findall(body) if len(w) > 1 or w.islower()]
+                whole = (len(words) >= LEAST_WORDS and sum(map(len, words)) >= LEAST_LETTERS) or (not body.isascii() and len(_CJK.findall(body)) >= 8)
+            out.append((at, end, whole))
         at = m.end() if m else len(text)
     return out
 
 
 def clean(sentence: str) -> str:
     """Lower case letters with single spaces, addresses, digits and marks left out."""
-    return " " + _OTHER.sub(" ", _ADDRESS.sub(" ", sentence)).strip().lower() + " "
+    return " " + _OTHER.sub(" ", _without_addresses(sentence)).strip().lower() + " "
 
 
 def presence(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -100,7 +104,8 @@ def presence(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         h ^= h >> np.uint64(29)
         inside = row[:m] == row[n - 1 :]
         keys.append(row[:m][inside] * COLUMNS + (h[inside] >> np.uint64(17)).astype(np.int64) % COLUMNS)
-    k = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
+    k = np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
+    k = k[np.r_[True, k[1:] != k[:-1]]] if len(k) else k
     return k // COLUMNS, k % COLUMNS
 
 
@@ -126,7 +131,7 @@ class Model:
 def _products(texts: list[str], right: np.ndarray) -> np.ndarray:
     """The presence matrix of ``texts``, rows of length one, times ``right``, in parts of bounded size."""
     out = np.zeros((len(texts), right.shape[1]), np.float32)
-    step = max(1, 12_000_000 // (400 * right.shape[1]))
+    step = max(1, min(64, 12_000_000 // (400 * right.shape[1])))  # sorted within the cache
     for a in range(0, len(texts), step):
         r, c = presence(texts[a : a + step])
         if len(r):
@@ -182,7 +187,7 @@ def train(documents: DataFrame, analysis: DataFrame) -> Model:
     chosen = agreed.join(F.broadcast(counts), "label").filter(F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / SAMPLE_DOCUMENTS)) == 0).select("doc_id", "label")
     rows = documents.join(chosen, "doc_id").select("doc_id", "label", "text").collect()  # bounded by the sample
     by: dict[str, list[tuple[int, str]]] = {}
-    for r in sorted(rows, key=lambda r: r["doc_id"]):
+    for r in sorted(rows, key=lambda r: (r["doc_id"] * 0x9E3779B97F4A7C15 % (1 << 64), r["doc_id"])):  # so that landmarks come from all over
         spans = [r["text"][a:b] for a, b, whole in sentences(r["text"]) if whole]
         by.setdefault(r["label"], []).extend((r["doc_id"], clean(s)) for s in spans[:: max(1, len(spans) // 4)][:4])
     texts, labels = [], []
@@ -207,42 +212,36 @@ def segments_of(texts: list[str | None], model: Model) -> list[list[tuple[int, i
     spans = [sentences(t) if t else [] for t in texts]
     flat = [clean(t[a:b]) for t, ss in zip(texts, spans) for a, b, _ in ss]
     scores = model.scores(flat)
+    size = np.array([len(x) - 2 for x in flat], np.float64).clip(0)
+    whole = np.array([w for ss in spans for _, _, w in ss], bool) & (size > 0)
+    best = scores.argmax(axis=1) if len(flat) else np.zeros(0, np.int64)
+    ranked = np.partition(scores, -2, axis=1)[:, -2:] if scores.shape[1] > 1 else np.c_[np.full(len(flat), -1.0), scores]
     out, at = [], 0
     for t, ss in zip(texts, spans):
-        own = scores[at : at + len(ss)]
-        size = np.array([max(0, len(flat[at + i]) - 2) for i in range(len(ss))], np.float64)
+        here = slice(at, at + len(ss))
         at += len(ss)
-        usable = size > 0
-        if not usable.any():
+        own, n, full = scores[here], size[here], whole[here]
+        usable = n > 0
+        any_whole = bool(full.any())
+        if not usable.any() or not (any_whole or _has_words(t)):
             out.append([])
             continue
-        whole = np.array([w for _, _, w in ss]) & usable
-        base = whole if whole.any() else usable
-        if not whole.any() and not _has_words(t):
-            out.append([])
-            continue
-        main = int((own[base] * size[base][:, None]).sum(axis=0).argmax())
+        base = full if any_whole else usable
+        main = int((own[base] * n[base][:, None]).sum(axis=0).argmax())
+        # a whole sentence differs from its document's language only by a clear margin
+        lang = np.where(full & (ranked[here, 1] - own[:, main] >= MARGIN), best[here], main)
+        score = own[np.arange(len(ss)), lang]
+        rival = np.where(score > ranked[here, 0], ranked[here, 0], ranked[here, 1])
+        sure = np.where(usable, np.clip(0.5 + (score - rival) / 4, 0.0, 1.0), 0.0)
         rows: list[list] = []
-        for i, (a, b, _) in enumerate(ss):
-            lang = main
-            if whole[i]:
-                best = int(own[i].argmax())
-                if own[i][best] - own[i][main] >= MARGIN:
-                    lang = best
-            if usable[i]:
-                second = np.partition(own[i], -2)[-2] if own.shape[1] > 1 else -1.0
-                sure = float(np.clip(0.5 + (own[i][lang] - (second if own[i][lang] > second else own[i].max())) / 4, 0.0, 1.0))
-            else:
-                sure = 0.0
-            if rows and rows[-1][2] == lang:
-                w = rows[-1][5]
-                rows[-1][3] = float((rows[-1][3] * w + sure * size[i]) / (w + size[i])) if w + size[i] else 0.0
-                rows[-1][1], rows[-1][4], rows[-1][5] = b, rows[-1][4] or bool(whole[i]), w + size[i]
+        for (a, b, _), g, c, w, k in zip(ss, lang.tolist(), sure.tolist(), full.tolist(), n.tolist()):
+            if rows and rows[-1][2] == g:
+                r = rows[-1]
+                r[3] = (r[3] * r[5] + c * k) / (r[5] + k) if r[5] + k else 0.0
+                r[1], r[4], r[5] = b, r[4] or w, r[5] + k
             else:
-                rows.append([a, b, lang, sure, bool(whole[i]), size[i]])
-        if not whole.any():
-            rows = [[*r[:4], True, r[5]] for r in rows]
-        out.append([(a, b, model.languages[lang], round(sure, 4), w) for a, b, lang, sure, w, _ in rows])
+                rows.append([a, b, g, c, w, k])
+        out.append([(a, b, model.languages[g], round(c, 4), w or not any_whole) for a, b, g, c, w, _ in rows])
     return out
 
 
