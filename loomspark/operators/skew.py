@@ -1,7 +1,6 @@
 """Per-key results without stragglers: fragment-replicate by estimated load.
 
-1. The load of every key comes from one combined count, which also gives the algebraic
-   aggregates. Only keys above the mean load of a task count as heavy; of T tasks there can be
+1. The load of every key comes from one combined count. Only keys above the mean load of a task count as heavy; of T tasks there can be
    fewer than T such keys, so what reaches the driver is bounded by T.
 2. Heavy keys are split into shards in proportion to their load. All other keys are hashed into
    V = 16 T virtual buckets, whose loads (V numbers) are summed in the cluster.
@@ -13,7 +12,7 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -118,22 +117,28 @@ def _distinct_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield from t.group_by(t.column_names).aggregate([]).combine_chunks().to_batches()
 
 
-def balanced_aggregate(df: DataFrame, key: str, aggs: list[Column], distinct: str, distinct_as: str, count: str = "rows", tasks: int | None = None) -> DataFrame:
+def balanced_aggregate(df: DataFrame, key: str, aggs: dict[str, tuple[Column, Callable[[str], Column]]] | None = None, distinct: str | None = None, distinct_as: str | None = None, count: str = "rows", tasks: int | None = None) -> DataFrame:
     """Per ``key``: ``count`` rows, the algebraic ``aggs``, and the distinct values of one column.
 
-    The algebraic aggregates combine before their shuffle. Distinct values are fragmented by
-    the load plan: shards of a key hold disjoint values, so the sum over shards is exact. Before
-    that shuffle each batch drops its repeats, so a value that fills a third of the table is one
-    row per batch. Null values aren't counted; a null key is a group; an empty table gives none.
+    ``aggs`` has by name an aggregate and how its parts merge (as ``(F.count("x"), F.sum)``). Rows of
+    a heavy key are spread over its shards, parts of shards combine before each shuffle and merge
+    per key. Distinct values (of ``distinct``, if given) are spread by value, so shards hold disjoint
+    ones and the sum over shards is exact; before their shuffle each batch drops its repeats. Null
+    values aren't counted; a null key is a group; an empty table gives none.
     """
-    base = written(df.groupBy(key).agg(F.count(F.lit(1)).alias(count), *aggs), "loads")
-    plan = plan_load(base, key, count, tasks)
+    aggs = {count: (F.count(F.lit(1)), F.sum), **(aggs or {})}
+    plan = plan_load(written(df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")), "loads"), key, "_n", tasks)
+    # rows of one map task combine to one for each key, so the task tells the shard
+    rows = fragment(df, key, F.spark_partition_id(), plan).groupBy("_slot", "_index", key).agg(*[a.alias(name) for name, (a, _) in aggs.items()])
+    base = rows.groupBy(key).agg(*[merge(name).alias(name) for name, (_, merge) in aggs.items()])
+    if distinct is None:
+        return base
     values = df.select(F.col(key).alias("_k"), F.col(distinct).alias("_v")).filter(F.col("_v").isNotNull())
     values = values.mapInArrow(_distinct_batches, values.schema)
     parts = fragment(values, "_k", F.xxhash64("_v"), plan).repartition(plan.tasks, "_slot")
     found = parts.groupBy("_slot", "_index", "_k", "_v").agg(F.count(F.lit(1)).alias("_n")).groupBy("_slot", "_index", "_k").agg(F.count(F.lit(1)).alias("_n"))
     found = found.groupBy("_k").agg(F.sum("_n").alias("_n"))
-    return base.join(found, base[key].eqNullSafe(found["_k"]), "left").select(*base.columns, F.coalesce("_n", F.lit(0)).cast("bigint").alias(distinct_as))
+    return base.join(found, base[key].eqNullSafe(found["_k"]), "left").select(*base.columns, F.coalesce("_n", F.lit(0)).cast("bigint").alias(distinct_as or f"distinct_{distinct}"))
 
 
 def balanced_join(left: DataFrame, right: DataFrame, key: str, spread: Column, how: str = "inner", tasks: int | None = None) -> DataFrame:

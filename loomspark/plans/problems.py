@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.catalog import table
+from loomspark.catalog import table, written
 from loomspark.operators.skew import balanced_aggregate, balanced_join
 from loomspark.operators.snapshots import change_claims, page_changes
 
@@ -15,14 +15,15 @@ from loomspark.operators.snapshots import change_claims, page_changes
 def domain_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per domain of requests: rows by op, distinct fingerprints, latest ts. Repeated rows count."""
     df = table(spark, sf_dir, "requests").select("domain", "op", F.lower("fingerprint").alias("fingerprint"), "ts")
-    ops = [F.count(F.when(F.col("op") == op, 1)).alias(f"{op}_rows") for op in ("push", "lease", "ack")]
-    return balanced_aggregate(df, "domain", [*ops, F.max("ts").alias("latest_ts")], "fingerprint", "fingerprints")
+    ops = {f"{op}_rows": (F.count(F.when(F.col("op") == op, 1)), F.sum) for op in ("push", "lease", "ack")}
+    return balanced_aggregate(df, "domain", {**ops, "latest_ts": (F.max("ts"), F.max)}, "fingerprint", "fingerprints")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Domains with at least 2 per cent of all rows of requests."""
-    per = domain_results(spark, sf_dir).select("domain", "rows")
-    return per.join(per.agg(F.sum("rows").alias("total"))).filter("domain is not null and rows * 50 >= total").select("domain")
+    """Domains with at least 2 per cent of all rows of requests, counted by fragments."""
+    per = written(balanced_aggregate(table(spark, sf_dir, "requests").select("domain"), "domain"), "domains")
+    total = per.agg(F.sum("rows")).first()[0] or 0
+    return per.filter(F.col("domain").isNotNull() & (F.col("rows") * 50 >= total)).select("domain")
 
 
 def p1_domain_response_join(spark: SparkSession, sf_dir: str) -> DataFrame:

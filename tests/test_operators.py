@@ -25,7 +25,7 @@ def requests(spark):
 
 def test_balanced_aggregate(spark):
     df = requests(spark)
-    got = rows(balanced_aggregate(df, "domain", [F.max("id").alias("m")], "fingerprint", "fps", tasks=6).select("domain", "rows", "m", "fps"))
+    got = rows(balanced_aggregate(df, "domain", {"m": (F.max("id"), F.max)}, "fingerprint", "fps", tasks=6).select("domain", "rows", "m", "fps"))
     assert got == rows(df.groupBy("domain").agg(F.count("*"), F.max("id"), F.count_distinct("fingerprint")))
 
 
@@ -51,7 +51,7 @@ def test_balanced_refuses_clashes(spark):
 
 def test_balanced_empty(spark):
     e = spark.createDataFrame([], "domain string, fingerprint string")
-    assert balanced_aggregate(e, "domain", [], "fingerprint", "f").count() == 0
+    assert balanced_aggregate(e, "domain", {}, "fingerprint", "f").count() == 0
     assert balanced_join(e, e.withColumnRenamed("fingerprint", "g"), "domain", F.lit(1)).count() == 0
 
 
