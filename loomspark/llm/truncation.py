@@ -13,7 +13,6 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +32,7 @@ LIMIT_TEXTS, LIMIT_SHARE, LIMIT_TIMES, AROUND = 5, 0.0002, 5, 10
 _CJK = "぀-ヿ㐀-鿿"
 _TOKEN = re.compile(rf"[{_CJK}]|[^\W\d_{_CJK}]+(?:['’][^\W\d_]+)*|\d+(?:[.,]\d+)*|[.!?…。！？]+|[\r\n]+|[^\w\s]")
 _STOP = re.compile(r"[.!?…。！？]+$")
-_END = re.compile(r"[.!?。！？][\"'”’»」』)\]]*$")
+_CLOSERS = "\"'”’»」』)]"
 _DOTS = re.compile(r"\s*(?:…|\.{2,})$")
 #: Notes put in place of the rest of a text.
 _NOTE = re.compile(
@@ -46,9 +45,50 @@ _CODES = re.compile(r"^[\sA-Z\d.,;:/|#-]*$")
 FULL, CUT, OPEN, DOTS = "full", "cut", "open", "dots"
 
 
+def _normal(token: str) -> str:
+    return "\n" if token[0] in "\r\n" else re.sub(r"\d", "0", token) if token[0].isdigit() else token.lower()
+
+
 def tokens(text: str) -> list[str]:
     """Words, numbers with their digits masked, sentence ends and line ends; spaceless scripts by character."""
-    return ["\n" if w[0] in "\r\n" else re.sub(r"\d", "0", w) if w[0].isdigit() else w.lower() for w in _TOKEN.findall(text)]
+    return [_normal(w) for w in _TOKEN.findall(text)]
+
+
+def _hash(token: str) -> int:
+    return xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass"))
+
+
+class Codes(dict):
+    """Numbers of spellings, in order of appearance, with their hashes and whether they are words.
+
+    ``masked`` are hashes with digits masked, ``plain`` those of the spelling in small letters.
+    """
+
+    #: Spellings remembered from batch to batch.
+    REMEMBERED = 300_000
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.masked: list[int] = []
+        self.plain: list[int] = []
+        self.word: list[bool] = []
+
+    def __missing__(self, token: str) -> int:
+        norm = _normal(token)
+        self.masked.append(_hash(norm))
+        self.plain.append(_hash(token.lower()))
+        self.word.append(norm != "\n" and not _STOP.match(norm))
+        self[token] = n = len(self.word) - 1
+        return n
+
+    def of(self, text: str) -> list[int]:
+        return [self[w] for w in _TOKEN.findall(text)]
+
+    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.array(self.masked, np.uint64), np.array(self.plain, np.uint64), np.array(self.word, bool)
+
+    def renew(self) -> Codes:
+        return Codes() if len(self) > self.REMEMBERED else self
 
 
 def ending(text: str | None) -> tuple[str, str]:
@@ -61,43 +101,76 @@ def ending(text: str | None) -> tuple[str, str]:
         return FULL, ""
     if s.endswith("�"):
         return CUT, ""
-    if _NOTE.search(s):
+    if ("…" in s or ".." in s or "[+" in s) and _NOTE.search(s):
         return CUT, ""
-    if m := _DOTS.search(s):
+    if s.endswith(("…", "..")) and (m := _DOTS.search(s)):
         return DOTS, s[: m.start()]
-    if _END.search(s) or s[-1] in ")]":
+    if s.rstrip(_CLOSERS)[-1:] in tuple(".!?。！？") or s[-1] in ")]":
         return FULL, ""
-    line = re.split(r"[\r\n]", s)[-1].strip()
+    line = s[max(s.rfind("\n"), s.rfind("\r")) + 1 :].strip()
     if len(line) < 100 and line != s.strip() and _LINE.match(line):
         return FULL, ""
     return OPEN, s
 
 
+_FOLD, _64 = 0x9E3779B97F4A7C15, (1 << 64) - 1
+
+
+def _fold(h: np.ndarray, more: np.ndarray) -> np.ndarray:
+    h = h * np.uint64(_FOLD) + more
+    return h ^ (h >> np.uint64(31))
+
+
 def gram(words: list[str]) -> int:
-    return xxhash.xxh64_intdigest("\x1f".join(words).encode("utf-8", "surrogatepass")) - (1 << 63)
+    """The number of a group of words, even, as a signed 64-bit integer; the same that ``_grams`` gives."""
+    h = 0
+    for w in words:
+        h = (h * _FOLD + _hash(w)) & _64
+        h ^= h >> 31
+    h &= _64 - 1
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _grams(h: np.ndarray, n: int) -> np.ndarray:
+    """The numbers of the groups of ``n`` words, by the place of their last one."""
+    out = np.zeros(max(0, len(h) - n + 1), np.uint64)
+    for k in range(n):
+        out = _fold(out, h[k : k + len(out)])
+    return out & np.uint64(_64 - 1)
 
 
 def closing(text: str) -> list[int]:
-    """Hashes of the last three, two and one words."""
-    w = tokens(text[-400:])
+    """Numbers of the last three, two and one words."""
+    size = 200
+    while len(w := tokens(text[-size:])) < 6 and size < len(text):  # the first ones may be cut
+        size *= 2
     return [gram(w[-n:]) if len(w) >= n else 0 for n in (3, 2, 1)]
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of all word groups of a batch and of those that end a sentence; the end of a text is no place."""
+    codes = Codes()
     for b in batches:
-        all_, ends = Counter(), Counter()
-        for text in b.column("text").to_pylist():
-            w = tokens((text or "").rstrip())
-            for i in range(len(w) - 1):
-                if w[i] == "\n" or _STOP.match(w[i]):
-                    continue
-                keys = ["\x1f".join(w[i - n + 1 : i + 1]) for n in (1, 2, 3) if i >= n - 1]
-                all_.update(keys)
-                if w[i + 1] == "\n" or _STOP.match(w[i + 1]):
-                    ends.update(keys)
-        h = [xxhash.xxh64_intdigest(k.encode("utf-8", "surrogatepass")) - (1 << 63) for k in all_]
-        yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(list(all_.values()), pa.int64()), pa.array([ends[k] for k in all_], pa.int64())], ["gram", "n", "ends"])
+        codes = codes.renew()
+        texts = [codes.of(t.rstrip()) for t in b.column("text").to_pylist() if t]
+        masked, _, word = codes.arrays()
+        at = np.array([i for t in texts for i in t], np.int64)
+        text = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        h, is_word = masked[at], word[at]
+        place = np.zeros(len(at), bool)  # a word with something behind it
+        place[:-1] = is_word[:-1] & (text[1:] == text[:-1])
+        ends = np.zeros(len(at), np.uint64)
+        ends[:-1] = ~is_word[1:]
+        keys = []
+        for n in PLACES:
+            use = np.flatnonzero(place[n - 1 :] & (text[n - 1 :] == text[: len(text) - n + 1])) if len(at) >= n else np.zeros(0, np.int64)
+            keys.append(_grams(h, n)[use] | ends[use + n - 1])
+        k = np.sort(np.concatenate(keys))
+        group = k & np.uint64(_64 - 1)
+        first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(k) else np.zeros(0, np.int64)
+        count = np.diff(np.r_[first, len(k)])
+        ended = np.add.reduceat((k & np.uint64(1)).astype(np.int64), first) if len(k) else count
+        yield pa.RecordBatch.from_arrays([pa.array(group[first].view(np.int64)), pa.array(count.astype(np.int64)), pa.array(ended)], ["gram", "n", "ends"])
 
 
 _FORM = "doc_id bigint, form string, size int, length int, three bigint, two bigint, one bigint"
@@ -118,18 +191,21 @@ _A = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _B = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 
 
-def shingles(text: str) -> np.ndarray:
-    """Hashes of the distinct shingles of five words; of all words together where there are fewer."""
-    w = [t for t in _TOKEN.findall(text.lower()) if t[0] not in "\r\n" and not _STOP.match(t)]
-    if not w:
-        return np.zeros(0, np.uint64)
-    h = np.array([xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) for x in w], np.uint64)
+def _shingles(h: np.ndarray) -> np.ndarray:
+    if not len(h):
+        return h
     n = min(SHINGLE, len(h))
     out = np.zeros(len(h) - n + 1, np.uint64)
     for k in range(n):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + h[k : k + len(out)]
-        out ^= out >> np.uint64(31)
-    return np.unique(out)
+        out = _fold(out, h[k : k + len(out)])
+    out.sort()
+    return out[np.r_[True, out[1:] != out[:-1]]]
+
+
+def shingles(text: str) -> np.ndarray:
+    """Hashes of the distinct shingles of five words, sorted; of all words together where there are fewer."""
+    w = [t.lower() for t in _TOKEN.findall(text)]
+    return _shingles(np.array([_hash(t) for t in w if t[0] not in "\r\n" and not _STOP.match(t)], np.uint64))
 
 
 def bands(text: str) -> list[int]:
@@ -144,17 +220,24 @@ def _bands(s: np.ndarray) -> list[int]:
     for at in range(0, len(s), 4096):
         part = s[at : at + 4096]
         low = np.minimum(low, (part[None, :] * _A[:, None] + _B[:, None]).min(axis=1))
-    return [xxhash.xxh64_intdigest(low[i * ROWS : (i + 1) * ROWS].tobytes(), i) - (1 << 63) for i in range(BANDS)]
+    low = low.reshape(BANDS, ROWS)
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for r in range(ROWS):
+        key = _fold(key, low[:, r])
+    return key.view(np.int64).tolist()
 
 
 _BANDED = "doc_id bigint, digest binary, size int, shingles int, open boolean, bands array<bigint>"
 
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    codes = Codes()
     for b in batches:
-        rows = []
-        for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-            s = shingles(text)
+        codes, rows = codes.renew(), []
+        docs = [(doc, text, np.array(codes.of(text), np.int64)) for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()) if text]
+        _, plain, word = codes.arrays()
+        for doc, text, at in docs:
+            s = _shingles(plain[at[word[at]]])
             if len(s):
                 rows.append((doc, xxhash.xxh128_digest(text.encode("utf-8", "surrogatepass")), len(text), len(s), ending(text)[0] in (OPEN, DOTS), _bands(s)))
         cols = list(zip(*rows)) or [[]] * 6
