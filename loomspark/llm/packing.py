@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from loomspark.catalog import table
 
 SHARD_ROWS = 10_000
+#: Kinds of containers that are packed in one pass.
+KINDS = 500
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -94,13 +96,15 @@ def pack_documents(docs: DataFrame, containers: DataFrame, shard_rows: int = SHA
     """
     shards = max(1, -(-docs.count() // shard_rows))
     sized = docs.select("doc_id", F.greatest(F.coalesce("n_tokens", F.lit(0)), F.lit(0)).cast("bigint").alias("size"), F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"))
-    kinds = [(r["container"], r["capacity"]) for r in containers.filter("capacity > 0").distinct().limit(1000).collect()]
-    if len(kinds) == 1000:
-        raise ValueError("packing takes fewer than 1000 kinds of containers")
-    each = F.explode(F.array(*[F.struct(F.lit(a).alias("container"), F.lit(b).cast("bigint").alias("capacity")) for a, b in kinds])) if kinds else None
-    if each is None:
-        return sized.limit(0).select(F.lit("").alias("container"), "shard", F.lit(0).alias("bin"), "doc_id", F.lit(0).alias("part"), F.lit(0).cast("bigint").alias("tokens"))
-    out = sized.withColumn("c", each).select("doc_id", "size", "shard", "c.*").groupBy("container", "capacity", "shard").applyInPandas(_pack_shard, "container string, shard int, doc_id bigint, part int, tokens bigint, bin int")
+    kinds = containers.filter("capacity > 0").select("container", F.col("capacity").cast("bigint").alias("capacity")).distinct()
+    parts = max(1, -(-kinds.count() // KINDS))
+    out = None
+    for part in range(parts):  # containers are few; very many go to the tasks in parts
+        rows = kinds.filter(F.pmod(F.xxhash64("container", "capacity"), F.lit(parts)) == part).collect()
+        each = F.array(*[F.struct(F.lit(r["container"]).cast("string").alias("container"), F.lit(r["capacity"]).cast("bigint").alias("capacity")) for r in rows])
+        each = each if rows else F.array().cast("array<struct<container:string,capacity:bigint>>")
+        one = sized.withColumn("c", F.explode(each)).select("doc_id", "size", "shard", "c.*").groupBy("container", "capacity", "shard").applyInPandas(_pack_shard, "container string, shard int, doc_id bigint, part int, tokens bigint, bin int")
+        out = one if out is None else out.unionByName(one)
     return out.select("container", "shard", "bin", "doc_id", "part", "tokens")
 
 
