@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -97,29 +98,33 @@ def sizes(text: str | None) -> tuple[int | None, int, int, float | None]:
     return n, sentences, chars, round(n / 230, 1)
 
 
-_STOP = frozenset(w for words in COMMON.values() for w in words.split())
+_COMMON_OF = {lang: frozenset(words.split()) for lang, words in COMMON.items()}
+#: Words of a text from which a single word must occur twice to be a keyword.
+LONG = 60
 
 
-def keywords(text: str | None, top: int = 8) -> list[str]:
-    """Words and phrases between common words, by count x words x 1.5 for phrases; none inside a better one."""
+def keywords(text: str | None, top: int = 8, language: str | None = None) -> list[str]:
+    """Words and phrases of two or three words between common words, by their weight.
+
+    A phrase weighs its count times 1.5 for each word and must occur twice, a word its count (twice
+    in texts of ``LONG`` words or more). Common words are English and those of ``language``. Whole
+    words of a better keyword, and phrases around one, are left out.
+    """
+    common = _COMMON_OF["en"] | _COMMON_OF.get(language or "", frozenset())
+    words = [w.casefold() for w in _WORD.findall(text or "")]
+    least = 2 if len(words) >= LONG else 1
     counts: Counter = Counter()
-    for part in re.split(r"[.!?;:,\n()\"“”]+", (text or "").lower()):
-        run: list[str] = []
-        for w in [*_WORD.findall(part), ""]:
-            if w and w not in _STOP and len(w) > 2:
-                run.append(w)
-                continue
-            for n in (1, 2, 3):
-                for i in range(len(run) - n + 1):
-                    counts[" ".join(run[i : i + n])] += 1
-            run = []
-    ranked = sorted(((c * (1 if " " not in k else 1.5 * (k.count(" ") + 1)), k) for k, c in counts.items() if " " not in k or c > 1), key=lambda x: (-x[0], x[1]))
+    for kept, run in groupby(words, key=lambda w: len(w) > 2 and w not in common):
+        r = list(run)
+        counts.update(" ".join(r[i : i + n]) for n in (1, 2, 3) for i in range(len(r) - n + 1)) if kept else None
+    weights = {k: (1.5 * n * c if n > 1 else float(c)) for k, c in counts.items() if (n := k.count(" ") + 1) and c >= (2 if n > 1 else least)}
     out: list[str] = []
-    for _, k in ranked:
-        if not any(k in o or o in k for o in out):
+    for k in sorted(weights, key=lambda k: (-weights[k], k)):
+        bounded = f" {k} "
+        if all(bounded not in f" {o} " and f" {o} " not in bounded for o in out):
             out.append(k)
-        if len(out) == top:
-            break
+            if len(out) == top:
+                break
     return out
 
 
@@ -134,7 +139,7 @@ def analyze(c: Column) -> Column:
         for t in s:
             lang, sure, second = detect_language(t)
             w, n, ch, m = sizes(t)
-            rows.append((lang, sure, second, main_script(t) if t else None, w, n, ch, m, keywords(t)))
+            rows.append((lang, sure, second, main_script(t) if t else None, w, n, ch, m, [] if w is None else keywords(t, language=lang)))
         out = pd.DataFrame(rows, columns=["language", "language_confidence", "runner_up", "script", "words", "sentences", "characters", "reading_minutes", "keywords"])
         out["words"] = out["words"].astype("Int64")
         return out

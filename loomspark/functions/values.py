@@ -16,8 +16,11 @@ from email.utils import parsedate_to_datetime
 
 # ---------------------------------------------------------------- texts
 _CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f​-‏‪-‮⁠﻿­]")
-#: Texts that stand for a missing value.
-PLACEHOLDERS = frozenset("n/a na n.a. none null nil undefined unknown tbd tba tbc todo - -- --- – — ? ?? ... … . not available not applicable not specified k.a. keine angabe sin datos no data xxx".split() + ["not available", "not applicable", "not specified", "keine angabe", "sin datos", "no data", "to be announced", "coming soon"]) - {"not", "available", "applicable", "specified", "keine", "angabe", "sin", "datos", "no", "data"}
+#: Texts that stand for a missing value, as they are, and marks of which nothing else may be there.
+PLACEHOLDERS = frozenset(["n/a", "na", "null", "none", "nil", "undefined", "nan", "tbd", "tba", "todo", "0000-00-00", "[object object]"])
+_ONLY_MARKS = ("-", "?")
+#: What encloses a variable of a template.
+_ENCLOSED = (("{{", "}}"), ("${", "}"), ("<%", "%>"))
 
 
 def clean_text(text: str | None, lines: bool = False) -> str | None:
@@ -34,10 +37,13 @@ def clean_text(text: str | None, lines: bool = False) -> str | None:
 
 
 def is_placeholder(text: str | None) -> bool:
-    if text is None:
+    """Whether a text stands for a missing value: a word for none, dashes, filler, a template's variable."""
+    s = (text or "").strip().casefold()
+    if not s:
         return False
-    s = text.strip().casefold()
-    return s in PLACEHOLDERS or bool(re.fullmatch(r"\{\{.*\}\}|\$\{.*\}|%[a-z_]+%|\[[a-z_ ]+\]", s))
+    if s in PLACEHOLDERS or s.startswith("lorem ipsum") or any(not s.strip(m) for m in _ONLY_MARKS):
+        return True
+    return any(len(s) >= len(a) + len(b) and s.startswith(a) and s.endswith(b) for a, b in _ENCLOSED) or bool(re.fullmatch(r"%[a-z_]+%", s))
 
 
 _GARBLED = re.compile("[ÃÂâ][\x80-\xbf€‚„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]|ï¿½|\ufffd")
@@ -76,7 +82,8 @@ def parse_boolean(text: str | None) -> bool | None:
 #: Wordings of availability, negations first, as schema.org names.
 AVAILABILITY = [
     ("Discontinued", r"discontinued|no longer (?:available|sold)|nicht mehr (?:lieferbar|verfügbar)|discontinu|descatalogad"),
-    ("OutOfStock", r"out.?of.?stock|sold.?out|unavailable|not available|not in stock|no stock|ausverkauft|nicht (?:verfügbar|lieferbar|vorrätig|auf lager)|épuisé|rupture|indisponible|agotado|sin stock|no disponible|esaurit|non disponibile|esgotado|uitverkocht|slutsåld|niedostępn|нет в наличии|在庫切れ"),
+    ("SoldOut", r"sold.?out|ausverkauft|agotado|esgotado|uitverkocht|slutsåld|épuisé|esaurit"),
+    ("OutOfStock", r"out.?of.?stock|unavailable|not available|not in stock|no stock|nicht (?:verfügbar|lieferbar|vorrätig|auf lager)|rupture|indisponible|sin stock|no disponible|non disponibile|niedostępn|нет в наличии|在庫切れ"),
     ("BackOrder", r"back.?order|nachbestell|auf bestellung"),
     ("PreOrder", r"pre.?order|vorbestell|précommand|reserva|preordin"),
     ("PreSale", r"pre.?sale|vorverkauf"),
@@ -94,8 +101,6 @@ def normalize_availability(text: str | None) -> str | None:
     for name, _ in AVAILABILITY:
         if s.casefold() == name.casefold():
             return name
-    if s.casefold() == "soldout":
-        return "SoldOut"
     for name, pattern in AVAILABILITY:
         if re.search(pattern, s, re.I):
             return name

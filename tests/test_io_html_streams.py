@@ -94,6 +94,7 @@ def test_text(spark):
     assert detect_language("The cat is on the table and it was not there before they came")[0] == "en"
     assert detect_language("Der Hund und die Katze sind nicht auf dem Tisch")[0] == "de"
     assert detect_language("この製品は多くのお客さまに喜ばれています")[0] == "ja" and detect_language("x")[0] is None and detect_language(None)[0] is None
+    assert keywords("party art party") == ["party", "art"] and keywords(None) == [] and keywords(" ".join(f"word{'abcdefghijkl'[i % 12]}{'abcdef'[i // 12]}" for i in range(70))) == []
     assert keywords("Solar panel prices rise. Solar panel makers sell more solar panel units.")[0] == "solar panel"
     df = spark.createDataFrame([("One two three. Four five!",), (None,), ("",)], "t string")
     got = [r["a"] for r in df.select(analyze(F.col("t")).alias("a")).collect()]

@@ -39,7 +39,7 @@ def test_quantities():
     assert V.convert(Decimal(1), "in", "cm") == Decimal("2.54") and V.convert(Decimal(0), "c", "f") == 32 and V.convert(Decimal(1), "kg", "m") is None
 
 
-@pytest.mark.parametrize("f,text,want", [(V.normalize_email, "john [at] Example [dot] COM", "john@example.com"), (V.normalize_email, "a..b@x.com", None), (V.normalize_country, "Deutschland", "DE"), (V.normalize_language, "en_us", "en-US"), (V.normalize_language, "German", "de"), (V.normalize_availability, "Nicht verfügbar", "OutOfStock"), (V.normalize_availability, "https://schema.org/InStock", "InStock"), (V.parse_rating, "4.5 out of 5", 4.5), (V.parse_rating, "90%", 4.5), (V.parse_rating, "8", 4.0), (V.parse_coordinates, "52.52, 13.405", [52.52, 13.405]), (V.parse_coordinates, "0, 0", None), (V.clean_text, " a &amp;​ b ", "a & b"), (V.clean_text, " ", None), (V.fix_garbled, "fÃ¼r", "für"), (V.is_placeholder, "N/A", True), (V.parse_boolean, "Ja", True), (V.parse_boolean, "2", None)])
+@pytest.mark.parametrize("f,text,want", [(V.normalize_email, "john [at] Example [dot] COM", "john@example.com"), (V.normalize_email, "a..b@x.com", None), (V.normalize_country, "Deutschland", "DE"), (V.normalize_language, "en_us", "en-US"), (V.normalize_language, "German", "de"), (V.normalize_availability, "Nicht verfügbar", "OutOfStock"), (V.normalize_availability, "https://schema.org/InStock", "InStock"), (V.parse_rating, "4.5 out of 5", 4.5), (V.parse_rating, "90%", 4.5), (V.parse_rating, "8", 4.0), (V.parse_coordinates, "52.52, 13.405", [52.52, 13.405]), (V.parse_coordinates, "0, 0", None), (V.clean_text, " a &amp;​ b ", "a & b"), (V.clean_text, " ", None), (V.fix_garbled, "fÃ¼r", "für"), (V.is_placeholder, "N/A", True), (V.is_placeholder, "{{ price }}", True), (V.is_placeholder, "0000-00-00", True), (V.is_placeholder, "Lorem ipsum dolor", True), (V.is_placeholder, "---", True), (V.is_placeholder, "no data", False), (V.is_placeholder, "", False), (V.normalize_availability, "Sold out", "SoldOut"), (V.normalize_availability, "out of stock", "OutOfStock"), (V.parse_boolean, "Ja", True), (V.parse_boolean, "2", None)])
 def test_others(f, text, want):
     assert f(text) == want
 
