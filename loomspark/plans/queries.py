@@ -103,6 +103,10 @@ for _n, (_t, _k, _e, _s) in _FN.items():
 SQL["fn_arith"] = "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 6) AS v FROM lineitem"
 for _n, _t, _k, _e in (("title", "part", "p_partkey", "title(p_name)"), ("clean", "documents", "doc_id", "clean(text)"), ("hash", "documents", "doc_id", "hash(text)"), ("domain", "requests", "request_id", "domain(url)"), ("param", "requests", "request_id", "param(url, 'id')"), ("number", "customer", "c_custkey", "number(c_name)"), ("money", "documents", "doc_id", "money(text)"), ("round_exact", "part", "p_partkey", "round_exact(p_retailprice, 1)"), ("distance_km", "customer", "c_custkey", "distance_km([c_acctbal / 200, c_nationkey], [52.5, 13.4])"), ("in_box", "customer", "c_custkey", "in_box([c_acctbal / 200, c_nationkey], 0, 5, 40, 20)")):
     QUERIES[f"fn_{_n}"] = lambda s, d, t=_t, k=_k, e=_e: (lambda df: df.select(k, Expression(e).column(df.schema).alias("v")))(table(s, d, t))
+_TITLE = "array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')"
+SQL["fn_title"] = f"SELECT p_partkey, {_TITLE} AS v FROM part"
+SQL["fn_number"] = "SELECT c_custkey, CAST(nullif(regexp_extract(c_name, '(\\d+)', 1), '') AS DOUBLE) AS v FROM customer"
+SQL["fn_domain"] = "SELECT request_id, nullif(regexp_extract(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^:/?#]+)', 1)), '([^.]+\\.[^.]+)$', 1), '') AS v FROM requests"
 SQL["fn_in_box"] = "SELECT c_custkey, c_acctbal / 200 BETWEEN 0 AND 40 AND c_nationkey BETWEEN 5 AND 20 AS v FROM customer"
 SQL["fn_param"] = "SELECT request_id, CASE WHEN regexp_matches(url, '[?&]id=') THEN url_decode(regexp_extract(url, '[?&]id=([^&#]*)', 1)) END AS v FROM requests"
 
@@ -124,8 +128,8 @@ _OPS = {
     "round": ([{"round": 1}], "p_retailprice", "round_even(p_retailprice, 1)"), "multiply": ([{"multiply": 1.5}], "p_size", "CAST(p_size AS DOUBLE) * 1.5"), "nullif": ([{"nullif": "brand#11 "}], "p_brand", "CASE WHEN lower(trim(p_brand)) <> 'brand#11' THEN p_brand END"),
     "split": ([{"split": " "}, {"join": "|"}], "p_type", "replace(p_type, ' ', '|')"), "first": ([{"split": " "}, "first"], "p_type", "split_part(p_type, ' ', 1)"), "last": ([{"split": " "}, "last"], "p_type", "split_part(p_type, ' ', -1)"),
     "length": (["length"], "p_name", "length(p_name)"), "default": ([{"nullif": "Brand#11"}, {"default": "none"}], "p_brand", "CASE WHEN lower(p_brand) = 'brand#11' THEN 'none' ELSE p_brand END"), "expr": ([{"expr": "value * 2 if value > 10 else value"}], "p_size", "CASE WHEN p_size > 10 THEN p_size * 2 ELSE p_size END"),
-    "unique": ([{"split": " "}, "unique", "compact", {"join": " "}], "p_type", None), "title": (["title"], "p_name", None), "clean": (["clean"], "p_name", "p_name"), "number": ([{"suffix": " kg"}, "number"], "p_brand", None), "integer": (["integer"], "p_brand", None), "percent": ([{"suffix": "%"}, "percent"], "p_size", "p_size / 100.0"),
-    "money": ([{"prefix": "$"}, "money"], "p_size", "CAST(p_size AS DOUBLE)"), "currency": ([{"prefix": "EUR "}, "currency"], "p_size", "'EUR'"), "unit": ([{"suffix": " cm"}, {"unit": "mm"}], "p_size", "CAST(p_size * 10 AS DOUBLE)"), "boolean": ([{"map": {"Brand#11": "yes"}}, "boolean"], "p_brand", "CASE WHEN p_brand = 'Brand#11' THEN true END"), "url": ([{"sub": ["#", ""]}, {"prefix": "HTTP://Shop.example:80/a/../"}, "url"], "p_brand", "'http://shop.example/' || replace(p_brand, '#', '')"), "fix_encoding": (["fix_encoding"], "p_name", "p_name"), "json": ([{"prefix": "["}, {"suffix": "]"}, "json", {"expr": "str(value)"}], "p_size", None), "date": ([{"prefix": "2024-01-0"}, {"truncate": 10}, "date"], "p_size", None),
+    "unique": ([{"split": " "}, "unique", "compact", {"join": " "}], "p_type", "(WITH w AS (SELECT unnest(string_split(p_type, ' ')) AS w, generate_subscripts(string_split(p_type, ' '), 1) AS i) SELECT string_agg(w, ' ' ORDER BY i) FROM (SELECT w, min(i) AS i FROM w WHERE w <> '' GROUP BY w))"), "title": (["title"], "p_name", "array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')"), "clean": (["clean"], "p_name", "p_name"), "number": ([{"suffix": " kg"}, "number"], "p_brand", "CAST(regexp_extract(p_brand, '(\\d+)', 1) AS DOUBLE)"), "integer": (["integer"], "p_brand", "CAST(regexp_extract(p_brand, '(\\d+)', 1) AS BIGINT)"), "percent": ([{"suffix": "%"}, "percent"], "p_size", "p_size / 100.0"),
+    "money": ([{"prefix": "$"}, "money"], "p_size", "CAST(p_size AS DOUBLE)"), "currency": ([{"prefix": "EUR "}, "currency"], "p_size", "'EUR'"), "unit": ([{"suffix": " cm"}, {"unit": "mm"}], "p_size", "CAST(p_size * 10 AS DOUBLE)"), "boolean": ([{"map": {"Brand#11": "yes"}}, "boolean"], "p_brand", "CASE WHEN p_brand = 'Brand#11' THEN true END"), "url": ([{"sub": ["#", ""]}, {"prefix": "HTTP://Shop.example:80/a/../"}, "url"], "p_brand", "'http://shop.example/' || replace(p_brand, '#', '')"), "fix_encoding": (["fix_encoding"], "p_name", "p_name"), "json": ([{"prefix": "["}, {"suffix": "]"}, "json", {"expr": "str(value)"}], "p_size", "'[' || p_size || ']'"), "date": ([{"prefix": "2024-01-0"}, {"truncate": 10}, "date"], "p_size", "'2024-01-0' || left(CAST(p_size AS VARCHAR), 1)"),
 }
 for _n, (_o, _c, _s) in _OPS.items():
     QUERIES[f"op_{_n}"] = lambda s, d, o=_o, c=_c: Transform([c], o, target="v").apply(table(s, d, "part").select("p_partkey", c)).select("p_partkey", "v")
@@ -445,7 +449,10 @@ def rank_history(s: SparkSession, d: str) -> DataFrame:
     return ranking.ranking_history(_serp(s, d), "d7").select("query", F.year("fetched").alias("year"), "position", "change")
 
 
-@query("rank_overlap")
+@query("rank_overlap", f"""{_SERP}, t AS (SELECT query, url, row_number() OVER (PARTITION BY query ORDER BY min(position), url) AS r FROM now WHERE query IN ('q1', 'q2') GROUP BY query, url),
+j AS (SELECT x.r AS ra, y.r AS rb FROM (SELECT url, r FROM t WHERE query = 'q1') x FULL JOIN (SELECT url, r FROM t WHERE query = 'q2') y ON x.url = y.url), n AS (SELECT greatest(max(ra), max(rb)) AS n FROM j),
+k AS (SELECT unnest(generate_series(1, (SELECT n FROM n))) AS k), a AS (SELECT k, (SELECT count(*) FROM j WHERE ra <= k AND rb <= k) AS x FROM k)
+SELECT (SELECT round(count(*) FILTER (ra IS NOT NULL AND rb IS NOT NULL) / count(*), 4) FROM j) AS jaccard, round(sum(x / k * power(0.9, k - 1)) * 0.1 / (1 - power(0.9, max(k))), 4) AS rbo FROM a""")
 def rank_overlap(s: SparkSession, d: str) -> DataFrame:
     return ranking.overlap(_serp(s, d), "q1", "q2")
 
