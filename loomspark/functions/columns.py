@@ -90,6 +90,21 @@ def money(c: Column, default: str | None = None, country_code: str | None = None
     return F.when(m["amount"].isNotNull(), m)
 
 
+def money_range(c: Column, default: str | None = None, country_code: str | None = None) -> Column:
+    """struct<low, high, currency> of a range of prices; fields are null for anything else."""
+
+    def one(x):
+        r = V.parse_money_range(x, default, country_code)
+        return r and {"low": float(r[0][0]), "high": float(r[1][0]), "currency": r[0][1]}
+
+    return mapped(one, "struct<low:double,high:double,currency:string>")(c)
+
+
+def dimensions(c: Column) -> Column:
+    """The quantities of ``10 x 20 cm`` as texts with their unit."""
+    return mapped(lambda x: [f"{n.normalize():f} {u}" for n, u in V.parse_dimensions(x)], "array<string>")(c)
+
+
 def quantity(c: Column, to: str | None = None) -> Column:
     """struct<value, unit>; converted to ``to``, null for another dimension."""
 

@@ -220,6 +220,22 @@ def parse_money(text: str | None, currency: str | None = None, country: str | No
     return first
 
 
+_BETWEEN = re.compile(r"\s*(?:[-–—]|\b(?:to|bis|à|a)\b)\s*")
+
+
+def parse_money_range(text: str | None, currency: str | None = None, country: str | None = None) -> tuple[tuple[Decimal, str | None], tuple[Decimal, str | None]] | None:
+    """Both ends of ``$10 - $20`` or ``10 bis 20 EUR``, in one currency; null for anything that is no range."""
+    for m in _BETWEEN.finditer(text or ""):
+        if not re.match(r"[^\d\s]{0,4}\s*\d", text[m.end() :]):
+            continue
+        ends = [parse_money(part, currency, country) for part in (text[: m.start()], text[m.end() :])]
+        if None in ends:
+            return None
+        code = ends[0][1] or ends[1][1]
+        return (ends[0][0], code), (ends[1][0], code)
+    return None
+
+
 def parse_rating(text: str | None, best: float = 5.0) -> float | None:
     """A rating on 0..best, four decimals: x of y, per cent, stars, or a bare number whose scale is guessed."""
     s = (text or "").strip()
@@ -421,6 +437,17 @@ def parse_quantity(text: str | None) -> tuple[Decimal, str] | None:
     return None
 
 
+def parse_dimensions(text: str | None) -> list[tuple[Decimal, str]]:
+    """The quantities of ``10 x 20 x 30 cm``; a number without a unit takes the last one written. Nothing where one can't be read."""
+    parts = [p for p in re.split(r"\s*[x×*]\s*", (text or "").strip())]
+    found = [parse_quantity(p) for p in parts]
+    units = [q[1] for q in found if q]
+    if not units:
+        return []
+    full = [q or ((n, units[-1]) if (n := parse_number(p)) is not None else None) for p, q in zip(parts, found)]
+    return [] if None in full else [(Decimal(str(n)), u) for n, u in full]
+
+
 # ---------------------------------------------------------------- contacts and places
 _EMAIL = re.compile(r"([A-Za-z0-9.!#$%&'*+/=?^_`{|}~-]{1,64})@((?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,63})")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomspark.catalog import once, spread, table
 from loomspark.expr.compiler import Expression
 from loomspark.functions import urls as U
-from loomspark.operators import dedupe, diff, entities, graph, groups, history, profile, ranking, sites, stages
+from loomspark.operators import crawl, dedupe, diff, entities, graph, groups, history, profile, ranking, sites, stages
 from loomspark.operators.schema import Field, Rule, Schema, infer_table, issue_column, issue_counts
 from loomspark.operators.stages import Compute, ConvertCurrency, Deduplicate, Exclude, Filter, Lookup, Rename, Select, Transform, Validate
 from loomspark.plans.pipeline import Pipeline
@@ -681,3 +681,73 @@ def ext_embedding_cosine_topk(s: SparkSession, d: str) -> DataFrame:
     from loomspark.operators.vectors import nearest
 
     return nearest(table(s, d, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", 5, 50)
+
+
+# ---------------------------------------------------------------- what a crawl keeps
+@query("snapshot_changes", """WITH last AS (SELECT url, run, snapshot AS s FROM pages WHERE url IS NOT NULL AND snapshot IS NOT NULL QUALIFY row_number() OVER (PARTITION BY url, run ORDER BY fetched DESC NULLS LAST, page_id DESC) = 1),
+v AS (SELECT url, run, CAST(s->>'$.status' AS INT) AS status, s->>'$.text' AS text, s->>'$.title' AS title, s->>'$.description' AS description, s->>'$.structured' AS structured, CAST(s->>'$.price' AS DOUBLE) AS price, s->>'$.currency' AS currency, s->>'$.availability' AS availability, coalesce(CAST(s->>'$.layout' AS BIGINT), 0) AS layout, s->>'$.navigation' AS navigation, s->>'$.items' AS items FROM last),
+o AS (SELECT url, run, v, lag(v) OVER (PARTITION BY url ORDER BY run) AS w FROM (SELECT url, run, v FROM v)),
+k AS (SELECT url, run, concat_ws(',', CASE WHEN v.status IS DISTINCT FROM w.status THEN 'status' END, CASE WHEN v.text IS DISTINCT FROM w.text THEN 'text' END, CASE WHEN v.title IS DISTINCT FROM w.title THEN 'title' END, CASE WHEN v.description IS DISTINCT FROM w.description THEN 'description' END, CASE WHEN v.structured IS DISTINCT FROM w.structured THEN 'structured-data' END,
+ CASE WHEN v.price IS DISTINCT FROM w.price OR v.currency IS DISTINCT FROM w.currency THEN 'price' END, CASE WHEN v.availability IS DISTINCT FROM w.availability THEN 'availability' END, CASE WHEN bit_count(xor(v.layout, w.layout)) >= 8 THEN 'layout' END, CASE WHEN v.navigation IS DISTINCT FROM w.navigation THEN 'navigation' END, CASE WHEN v.items IS NOT NULL AND w.items IS NOT NULL AND v.items <> w.items THEN 'items' END) AS kinds FROM o WHERE w IS NOT NULL)
+SELECT url, run, kinds FROM k WHERE kinds <> ''""")
+def snapshot_changes(s: SparkSession, d: str) -> DataFrame:
+    return crawl.snapshot_changes(table(s, d, "pages")).withColumn("kinds", F.array_join("kinds", ","))
+
+
+@query("even_sample", "SELECT c_custkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS i, count(*) OVER () // 40 AS step FROM customer) WHERE i % greatest(step, 1) = 0 AND i < 40 * greatest(step, 1)")
+def even_sample(s: SparkSession, d: str) -> DataFrame:
+    return crawl.even_sample(table(s, d, "customer").select("c_custkey"), 40, "c_custkey")
+
+
+@query("offset_page", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 100")
+def offset_page(s: SparkSession, d: str) -> DataFrame:
+    return crawl.page_of(table(s, d, "orders").select("o_orderkey", "o_totalprice"), [F.col("o_totalprice").desc(), F.col("o_orderkey")], 100, 50)[0]
+
+
+@query("cached_answers", "SELECT url, arg_max(status, (stored_at, coalesce(status, -1))) AS status FROM (SELECT DISTINCT url, status, stored_at FROM responses WHERE url IS NOT NULL AND stored_at IS NOT NULL) GROUP BY url HAVING max(stored_at) + INTERVAL 20 DAY > (SELECT max(stored_at) FROM responses)")
+def cached_answers(s: SparkSession, d: str) -> DataFrame:
+    rows = table(s, d, "responses").select("url", "status", "stored_at")
+    now = rows.agg(F.max("stored_at").cast("string")).first()[0]
+    return crawl.cached_answers(rows, now or "1970-01-01", 20 * 86400.0).select("url", "status")
+
+
+@query("strategy_shares", """WITH p AS (SELECT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/]+/([^/?]*)', 1) AS pattern, html IS NOT NULL AS ok FROM pages),
+g AS (SELECT host, pattern, count(*) AS pages, count(*) FILTER (NOT ok) AS short FROM p GROUP BY 1, 2), h AS (SELECT host, sum(short) / sum(pages) AS h FROM g GROUP BY 1)
+SELECT host, pattern, pages, round(CASE WHEN pages < 5 THEN h ELSE short / pages END, 4) AS share, CASE WHEN pages < 5 THEN 'host' ELSE 'pattern' END AS "by" FROM g JOIN h USING (host)""")
+def strategy_shares(s: SparkSession, d: str) -> DataFrame:
+    pages = table(s, d, "pages").select("url", F.col("html").isNotNull().alias("ok"))
+    return crawl.strategy_shares(pages, F.regexp_extract("url", "^[a-z]+://[^/]+/([^/?]*)", 1), F.regexp_extract("url", "^[a-z]+://([^/]+)", 1), F.col("ok"))
+
+
+@query("event_counts", "SELECT event_type AS kind, count(*) AS n FROM events GROUP BY 1")
+def event_counts(s: SparkSession, d: str) -> DataFrame:
+    return crawl.event_counts(table(s, d, "events"), "event_type")
+
+
+@query("failure_groups", "SELECT status, count(*) AS n, array_to_string(list_sort(list_distinct(list(url)))[1:3], ' ') AS urls FROM pages WHERE status >= 400 GROUP BY 1")
+def failure_groups(s: SparkSession, d: str) -> DataFrame:
+    return crawl.failure_groups(table(s, d, "pages").filter("status >= 400"), ["status"]).withColumn("urls", F.array_join("urls", " "))
+
+
+@query("url_patterns", """WITH u AS (SELECT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '/'), lambda x: x <> '') AS parts FROM urls WHERE url IS NOT NULL),
+l AS (SELECT host, len(parts) AS size, count(*) AS n FROM u GROUP BY 1, 2), m AS (SELECT host, arg_max(size, (n, -size)) AS size, count(*) AS lengths FROM l GROUP BY 1),
+x AS (SELECT u.host, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM u JOIN m ON u.host = m.host AND len(u.parts) = m.size),
+k AS (SELECT host, i, CASE WHEN min(part) = max(part) THEN min(part) WHEN bool_and(regexp_matches(part, '^\\d+$')) THEN '{id}' ELSE '{slug}' END AS p FROM x GROUP BY 1, 2)
+SELECT m.host, '/' || coalesce(p, '') || CASE WHEN lengths > 1 THEN '/...' ELSE '' END AS pattern FROM m LEFT JOIN (SELECT host, string_agg(p, '/' ORDER BY i) AS p FROM k GROUP BY 1) y ON m.host = y.host""")
+def url_patterns(s: SparkSession, d: str) -> DataFrame:
+    return crawl.url_patterns(table(s, d, "urls").select("url", F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host")), "host")
+
+
+@query("read_results", "SELECT crawl AS query, CAST(priority AS INT) AS position, url, CAST(NULL AS VARCHAR) AS title, 'web' AS type FROM requests WHERE priority >= 1 AND nullif(trim(url), '') IS NOT NULL AND nullif(trim(crawl), '') IS NOT NULL")
+def read_results(s: SparkSession, d: str) -> DataFrame:
+    return crawl.read_results(table(s, d, "requests").select(F.col("crawl").alias("keyword"), F.col("priority").cast("string").alias("rank"), F.col("url").alias("link")))
+
+
+@query("values_match", "SELECT p_partkey, p_size = 10 AS v FROM part")
+def values_match(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "part").select("p_partkey", crawl.values_match(F.lit(" 10.0 "), F.col("p_size")).alias("v"))
+
+
+@query("top_languages", "SELECT language AS value, count(*) AS n FROM text_analysis WHERE language IS NOT NULL GROUP BY 1 ORDER BY n DESC, value LIMIT 10")
+def top_languages(s: SparkSession, d: str) -> DataFrame:
+    return crawl.top_counts(table(s, d, "text_analysis"), "language", 10)

@@ -7,6 +7,7 @@ import re
 import sqlite3
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -114,6 +115,21 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_json_array(df: DataFrame, path: str) -> None:
+    """Each part file is one JSON array, a record a line; ``read_json`` reads the folder. Nothing is collected."""
+
+    def run(batches):
+        first = True
+        for b in batches:
+            rows = b.column(0).to_pylist()
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([("[" if first and not i else ",") + r for i, r in enumerate(rows)])], ["value"])
+                first = False
+        yield pa.RecordBatch.from_arrays([pa.array(["[]" if first else "]"])], ["value"])
+
+    df.select(F.to_json(F.struct(*[ident(c) for c in df.columns]), {"ignoreNullFields": "false"}).alias("value")).mapInArrow(run, "value string").write.mode("overwrite").text(path)
+
+
 def upsert(df: DataFrame, key: list[str]) -> DataFrame:
     """One row per key at the place of its first occurrence, each field from the last record that has it;
     records with a null key stay rows of their own. Combined before the shuffle."""
@@ -278,5 +294,5 @@ def write_jdbc(df: DataFrame, url: str, table: str, **options) -> None:
 
 for _ending, _reader in ((".jsonl", read_jsonl), (".ndjson", read_jsonl), (".json", read_json), (".csv", read_csv), (".parquet", lambda s, p: s.read.parquet(p)), (".sqlite", _sqlite), (".db", _sqlite), (".duckdb", _duckdb), (".xml", read_sitemap)):
     register_reader(_ending, _reader)
-for _ending, _writer in ((".jsonl", write_jsonl), (".ndjson", write_jsonl), (".csv", write_csv), (".parquet", write_parquet), (".sqlite", write_sqlite)):
+for _ending, _writer in ((".json", write_json_array), (".jsonl", write_jsonl), (".ndjson", write_jsonl), (".csv", write_csv), (".parquet", write_parquet), (".sqlite", write_sqlite)):
     register_writer(_ending, _writer)
