@@ -47,8 +47,8 @@ def snapshot_changes(pages: DataFrame) -> DataFrame:
     return both.select("url", "run", snapshot_kinds(F.col("old"), F.col("new")).alias("kinds")).filter(F.size("kinds") > 0)
 
 
-def numbered(df: DataFrame, *order: str, name: str = "number") -> DataFrame:
-    """``df`` with the place (from 0) of each row in the order of columns that no two rows share.
+def numbered(df: DataFrame, *order: str | Column, name: str = "number") -> DataFrame:
+    """``df`` with the place (from 0) of each row in an order that no two rows share.
 
     Ranges are numbered in parallel and their sizes added on, so no task sees all rows.
     """

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomspark.expr.compiler import Value, as_text, is_number, is_text
 from loomspark.functions.columns import hash_key
+from loomspark.operators.quantiles import quantile
 from loomspark.operators.stages import SEQ, data_columns, ident, value_of, with_sequence
 
 
@@ -67,7 +68,8 @@ def field_stats(d: DataFrame) -> DataFrame:
     """Per changed field: records, ups, downs, median ratio, values appeared and disappeared."""
     f = d.filter("change = 'changed'").select(F.explode("fields").alias("f")).select("f.*")
     count = lambda c: F.count(F.when(c, 1))
-    return f.groupBy("field").agg(F.count(F.lit(1)).alias("records"), count(F.col("delta") > 0).alias("up"), count(F.col("delta") < 0).alias("down"), F.round(F.percentile("ratio", F.lit(0.5)), 6).alias("median_ratio"), count(F.col("old").isNull()).alias("appeared"), count(F.col("new").isNull()).alias("disappeared"))
+    per = f.groupBy("field").agg(F.count(F.lit(1)).alias("records"), count(F.col("delta") > 0).alias("up"), count(F.col("delta") < 0).alias("down"), count(F.col("old").isNull()).alias("appeared"), count(F.col("new").isNull()).alias("disappeared"))
+    return per.join(quantile(f, ["field"], "ratio", name="_m"), "field", "left").select("field", "records", "up", "down", F.round("_m", 6).alias("median_ratio"), "appeared", "disappeared")
 
 
 def bag_difference(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:

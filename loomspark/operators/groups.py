@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.catalog import written
+from loomspark.operators.crawl import numbered
+from loomspark.operators.quantiles import summary
 from loomspark.operators.stages import SEQ, ident, with_sequence
 
 
@@ -23,13 +26,16 @@ def group_records(df: DataFrame, by: str, values: list[str] | None = None, curre
     key = F.lower(F.trim(ident(by).cast("string")))
     spelled = rows.select(key.alias("k"), ident(by).cast("string").alias("s"), SEQ).groupBy("k", "s").agg(F.count(F.lit(1)).alias("n"), F.min(SEQ).alias("first"))
     per = spelled.groupBy("k").agg(F.sum("n").alias("count"), F.max_by("s", F.struct("n", -F.col("first"))).alias("label"))
-    total = per.agg(F.sum("count").alias("t"))
-    per = per.join(F.broadcast(total)).withColumn("share", F.round(F.col("count") / F.col("t"), 4)).drop("t")
-    w = Window.orderBy(F.col("k").isNull(), F.col("count").desc(), F.col("label"))
-    per = per.withColumn("rank", F.row_number().over(w)) if top is None else per.orderBy(F.col("k").isNull(), F.col("count").desc(), "label").limit(top).withColumn("rank", F.row_number().over(w))
+    per = written(per, "groups")
+    total = per.agg(F.sum("count")).first()[0]
+    per = per.withColumn("share", F.round(F.col("count") / F.lit(total), 4))
+    order = [F.col("k").isNull(), F.col("count").desc(), F.col("label"), F.col("k")]
+    per = numbered(per if top is None else per.orderBy(*order).limit(top), *order, name="rank").withColumn("rank", (F.col("rank") + 1).cast("int"))
     for v in values or []:
         keys = [key.alias("k")] + ([ident(currency).alias("currency")] if currency else [])
         c = ident(v).cast("double")
-        stats = rows.select(*keys, c.alias("v")).filter("v is not null").groupBy(*(["k", "currency"] if currency else ["k"])).agg(F.count(F.lit(1)).alias(f"{v}_count"), rounded(F.min("v")).alias(f"{v}_min"), rounded(F.max("v")).alias(f"{v}_max"), rounded(F.avg("v")).alias(f"{v}_mean"), rounded(F.percentile("v", F.lit(0.5))).alias(f"{v}_median"))
+        names = ["k", "currency"] if currency else ["k"]
+        stats = summary(rows.select(*keys, c.alias("v")), names, "v")
+        stats = stats.select(*names, F.col("count").alias(f"{v}_count"), *[rounded(F.col(x)).alias(f"{v}_{x}") for x in ("min", "max", "mean", "median")])
         per = per.join(stats.withColumnRenamed("k", "__k"), F.col("k").eqNullSafe(F.col("__k")), "left").drop("__k")
     return per.drop("k")

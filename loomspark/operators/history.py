@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspark.operators.quantiles import quantile
+
 
 def compare_runs(pages: DataFrame, old: int, new: int, complete: bool = True) -> DataFrame:
     """``(url, change)``: every url as of ``old`` (its latest snapshot with run <= old) against run ``new``.
@@ -67,4 +69,4 @@ def freshness(pages: DataFrame, now: float, target: float = 0.5) -> DataFrame:
 
 def change_frequency(pages: DataFrame, now: float) -> DataFrame:
     """One row: the median change rate per day, four decimals."""
-    return freshness(pages, now).filter("rate_per_day is not null").agg(F.round(F.percentile("rate_per_day", F.lit(0.5)), 4).alias("changes_per_day"))
+    return quantile(freshness(pages, now), [], "rate_per_day", name="m").select(F.round("m", 4).alias("changes_per_day"))

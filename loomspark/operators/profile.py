@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from loomspark.catalog import written
 from loomspark.expr.compiler import as_text, is_number
+from loomspark.operators.quantiles import quantile
 from loomspark.operators.stages import data_columns, ident, value_of
 
 WEIGHTS = {"completeness": 0.3, "validity": 0.3, "uniqueness": 0.15, "consistency": 0.15, "freshness": 0.1}
@@ -71,18 +72,25 @@ def numeric_profile(df: DataFrame) -> DataFrame:
     """Per numeric field: n, least, largest, mean, deviation, median and median absolute deviation."""
     cols = [c for c in data_columns(df) if is_number(value_of(df, c))]
     long = df.select(*[ident(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "field", "value").filter("value is not null")
-    mid = long.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("deviation"), F.percentile("value", F.lit(0.5)).alias("median"))
-    mad = long.join(F.broadcast(mid.select("field", "median")), "field").groupBy("field").agg(F.percentile(F.abs(F.col("value") - F.col("median")), F.lit(0.5)).alias("mad"))
+    mid = long.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("deviation"))
+    medians = quantile(long, ["field"], "value")
+    far = long.join(F.broadcast(medians), "field").select("field", F.abs(F.col("value") - F.col("median")).alias("far"))  # a row per field is broadcast
+    mid, mad = mid.join(medians, "field"), quantile(far, ["field"], "far", name="mad")
     return mid.join(mad, "field").select("field", "n", *[F.round(c, 6).alias(c) for c in ("low", "high", "mean", "deviation", "median", "mad")])
 
 
 def mad_outliers(df: DataFrame, key: str, column: str, limit: float = 8.0, least: int = 20) -> DataFrame:
     """Rows whose distance from the median is over ``limit`` scaled median absolute deviations."""
     v = df.select(ident(key).alias("key"), ident(column).cast("double").alias("value")).filter("value is not null")
-    mid = v.agg(F.percentile("value", F.lit(0.5)).alias("m"), F.count(F.lit(1)).alias("n"))
-    mad = v.join(F.broadcast(mid)).groupBy("m", "n").agg(F.percentile(F.abs(F.col("value") - F.col("m")), F.lit(0.5)).alias("mad"))
-    z = 0.6745 * F.abs(F.col("value") - F.col("m")) / F.col("mad")
-    return v.join(F.broadcast(mad)).filter((F.col("n") >= least) & (F.col("mad") > 0)).withColumn("z", F.round(z, 6)).filter(z > limit).select("key", "value", "z")
+    mid = quantile(v, [], "value").first()
+    middle = mid[0] if mid else None
+    far = F.abs(F.col("value") - F.lit(middle))
+    spread = quantile(v.select(far.alias("far")), [], "far").first()
+    mad = spread[0] if spread else None
+    if not mad or v.count() < least:
+        return v.limit(0).withColumn("z", F.lit(None).cast("double"))
+    z = 0.6745 * far / F.lit(mad)
+    return v.withColumn("z", F.round(z, 6)).filter(z > limit).select("key", "value", "z")
 
 
 def score(df: DataFrame, key: list[str], errors: Column | None = None, updated: Column | None = None, now: str | None = None, fresh_days: float = 30.0) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomspark.catalog import once, spread, table
 from loomspark.expr.compiler import Expression
 from loomspark.functions import urls as U
-from loomspark.operators import crawl, dedupe, diff, entities, graph, groups, history, profile, ranking, sites, stages
+from loomspark.operators import crawl, dedupe, diff, entities, graph, groups, history, profile, quantiles, ranking, sites, stages
 from loomspark.operators.schema import Field, Rule, Schema, infer_table, issue_column, issue_counts
 from loomspark.operators.stages import Compute, ConvertCurrency, Deduplicate, Exclude, Filter, Lookup, Rename, Select, Transform, Validate
 from loomspark.plans.pipeline import Pipeline
@@ -47,8 +47,8 @@ def revenue_by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filter, Compute, Lookup's join and group statistics in one plan; columns are pruned at both scans."""
     items = Pipeline([Filter("l_quantity > 10 and l_returnflag != 'N'"), Compute({"revenue": "l_extendedprice * (1 - l_discount)"})]).run(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_returnflag", "l_extendedprice", "l_discount"))
     rows = items.join(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_orderpriority", "revenue")
-    r = lambda c: F.round(c, 2)
-    return rows.groupBy(F.col("o_orderpriority").alias("label")).agg(F.count(F.lit(1)).alias("count"), r(F.min("revenue")).alias("revenue_min"), r(F.max("revenue")).alias("revenue_max"), r(F.avg("revenue")).alias("revenue_mean"), r(F.percentile("revenue", F.lit(0.5))).alias("revenue_median"))
+    per = quantiles.summary(rows.withColumnRenamed("o_orderpriority", "label"), ["label"], "revenue")
+    return per.select("label", "count", *[F.round(c, 2).alias(f"revenue_{c}") for c in ("min", "max", "mean", "median")])
 
 
 # ---------------------------------------------------------------- filters and expressions
@@ -476,7 +476,7 @@ def rank_modules(s: SparkSession, d: str) -> DataFrame:
 @query("rolling_rate_30s", "SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY epoch_us(ts) RANGE BETWEEN 30000000 PRECEDING AND CURRENT ROW) AS n FROM events")
 def rolling_rate_30s(s: SparkSession, d: str) -> DataFrame:
     e = table(s, d, "events").select("event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
-    return e.select("event_id", F.count(F.lit(1)).over(Window.partitionBy("event_type").orderBy("t").rangeBetween(-30_000_000, 0)).alias("n"))
+    return streams.rolling_count(e, ["event_type"], "t", 30_000_000).select("event_id", "n")
 
 
 @query("last_n_mean", "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 6) AS mean FROM events")
@@ -487,13 +487,8 @@ def last_n_mean(s: SparkSession, d: str) -> DataFrame:
 
 @query("latency_percentile_index", "SELECT event_type, q, v AS value FROM (SELECT event_type, value AS v, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) JOIN (SELECT unnest([0.5, 0.9, 0.99]) AS q) ON i = CAST(floor(q * n) AS BIGINT)")
 def latency_percentile_index(s: SparkSession, d: str) -> DataFrame:
-    """The value at the index floor(q n). Equal values are counted first, so a type of any size is combined."""
-    per = table(s, d, "events").groupBy("event_type", "value").agg(F.count(F.lit(1)).alias("k"))
-    w = Window.partitionBy("event_type").orderBy("value")
-    run = per.withColumn("to", F.sum("k").over(w)).withColumn("n", F.sum("k").over(Window.partitionBy("event_type")))
-    q = F.explode(F.array(*[F.lit(x) for x in (0.5, 0.9, 0.99)]))
-    at = F.floor(F.col("q") * F.col("n"))
-    return run.withColumn("q", q).filter((at < F.col("to")) & (at >= F.col("to") - F.col("k"))).select("event_type", "q", "value")
+    """The value at the index floor(q n)."""
+    return quantiles.value_at(table(s, d, "events"), ["event_type"], "value", [0.5, 0.9, 0.99])
 
 
 @query("queue_order", "SELECT crawl, request_id, place FROM (SELECT crawl, request_id, row_number() OVER (PARTITION BY crawl ORDER BY priority DESC, seq) AS place FROM (SELECT DISTINCT * FROM requests WHERE op = 'push')) WHERE place <= 10")

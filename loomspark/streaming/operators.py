@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -122,3 +122,16 @@ def queue_order(requests: DataFrame, limit: int | None = None) -> DataFrame:
     w = Window.partitionBy("crawl").orderBy(F.col("priority").desc(), "seq")
     out = requests.withColumn("place", F.row_number().over(w))
     return out if limit is None else out.filter(F.col("place") <= limit)
+
+
+def rolling_count(events: DataFrame, by: list[str], at: str, width: int) -> DataFrame:
+    """``events`` with ``n``: the events of the same group within ``width`` before each one, itself included.
+
+    Time is cut into slots of ``width``; a slot sees its own events and those of the slot before, so
+    a group's events are spread over its slots and none is in one task. Equal times count alike;
+    events without a time have none.
+    """
+    slot = F.floor(F.col(at) / width)
+    rows = events.withColumn("_own", slot).withColumn("_slot", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))
+    n = F.count(F.lit(1)).over(Window.partitionBy(*by, "_slot").orderBy(at).rangeBetween(-width, 0))
+    return rows.withColumn("n", n).filter(F.col("_slot").eqNullSafe(F.col("_own")) & F.col(at).isNotNull()).drop("_own", "_slot")
